@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, mixing, neardup, rules, tokens
+from . import decontam, linededup, mixing, neardup, rules, spans, tokens
 from .common import table
 
 QUERIES = {}
@@ -98,3 +98,30 @@ def tokenizer_path() -> str:
 @query
 def op2_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH rows AS (
+  SELECT DISTINCT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+wins AS (
+  SELECT doc_id, text, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS w
+  FROM (SELECT doc_id, text, l, unnest(range(1, len(l) - 1)) AS i FROM rows WHERE len(l) >= 3)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, i) AS r FROM wins),
+gone AS (SELECT DISTINCT doc_id, text, unnest(range(i, i + 3)) AS p FROM ranked WHERE r > 1),
+removed AS (SELECT doc_id, text, list(p) AS ps FROM gone GROUP BY doc_id, text)
+SELECT d.doc_id, CAST(len(r.l) AS BIGINT) AS n_lines, CAST(coalesce(len(g.ps), 0) AS BIGINT) AS n_removed,
+  CASE WHEN g.ps IS NULL THEN d.text ELSE coalesce(array_to_string(list_filter(r.l, lambda x, i: NOT list_contains(g.ps, i)), chr(10)), '') END AS text
+FROM documents d
+JOIN rows r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.text IS NOT DISTINCT FROM r.text
+LEFT JOIN removed g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text IS NOT DISTINCT FROM g.text
+"""
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents"))
