@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, linededup, mixing, neardup, rules, spans, tokens
+from . import decontam, langid, linededup, mixing, neardup, rules, spans, tokens
 from .common import table
 
 QUERIES = {}
@@ -125,3 +125,8 @@ LEFT JOIN removed g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text IS NOT
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
