@@ -8,12 +8,13 @@ r"""Near-duplicate documents by MinHash and an LSH forest (operator 3).
    values.  Depth adapts by itself: in a sparse region, where fewer than NEAR classes follow with that prefix, all of
    them are neighbours; in a dense one, the next in order are those with the longest common prefix.  What lies on both
    sides of a partition's border is paired in a small pass of its own.
-3. Pairs whose sketches agree too little are dropped (SKETCH_LEAST is more than 5 standard deviations below the
-   threshold).  The rest is confirmed on the full sets: first FIRST_LINKS pairs of each class, then every pair that
-   still joins two components.
-4. The rest of dense regions: each class outside its region's largest component is compared with all classes of the
-   region that are in other components.  So no region has a cap on its candidates, and yet no region's pairs are all
-   made: classes that hang together already need no more pairs.
+3. The sketches of a pair tell about how near it is: CLOSE is 4 standard deviations below the threshold, LOOSE far below.
+   Close pairs are confirmed on the full sets: first FIRST_LINKS of each class, then every one that still joins two
+   components.
+4. The rest of large groups: classes that loose pairs tie together are a family.  In a family that has several
+   components, each class outside the largest is compared with all classes in other components, block by block inside
+   a task: sketches first, then full sets.  Only the links that are found leave the task.  So no family has a cap on its
+   candidates, and no pairs are written out; classes that hang together already need no more comparisons.
 
 A pair of similarity 0.75 shares MIN_DEPTH values in a given order with probability 0.42, and in none of the 24 with
 2e-6.
@@ -38,8 +39,9 @@ SHINGLE = 5
 PERCENT = 75
 TREES, DEPTH, MIN_DEPTH = 24, 6, 3
 NEAR, DENSE_NEAR = 8, 1
-SKETCH_LEAST = 0.55
+LOOSE, CLOSE = 0.45, 0.6
 FIRST_LINKS = 3
+BLOCK = 400
 
 SIGNED = "doc_id long, n_shingles long, key binary, sig binary, sketch binary"
 
@@ -125,7 +127,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one sorted run: pairs (kind 0), members of dense regions (1) and the rows at both borders (2)."""
+    """Of one sorted run: pairs (kind 0) and the rows at both borders (2)."""
 
     def rows(kind: int, tree, path, a, b) -> pa.RecordBatch:
         n = len(a)
@@ -158,12 +160,6 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             second.append(i[ok] + j)
         i, k = pa.array(np.concatenate(first)), pa.array(np.concatenate(second))
         yield rows(0, tree.take(i), path.take(i), key.take(i), key.take(k))
-        in_dense = np.zeros(n, bool)
-        for j in range(NEAR + 1):
-            in_dense[j:] |= dense[: n - j] & (region[: n - j] == region[j:])
-        members = pa.array(at[context:upto][in_dense[context:upto]])
-        yield rows(1, tree.take(members), path.take(members), key.take(members), None)
-
     last: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch.select(["tree", "path", "key"])])
@@ -197,24 +193,69 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches (..., TREES * DEPTH)."""
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), TREES * DEPTH)
+
+
+def _may_link(near: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    return (near >= CLOSE) & (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b))
+
+
 def _sketch_agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sketches agree enough, with the estimated similarity."""
+    """The pairs whose sketches agree at least loosely, with the estimate and whether they may be a link."""
     for batch in batches:
         if not len(batch):
             continue
-        width = TREES * DEPTH
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in ("sketch_a", "sketch_b"))
-        share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        sizes = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
-        keep = pa.array((share >= SKETCH_LEAST) & sizes)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(share).filter(keep)], names=["a", "b", "near"])
+        near = _agreement(*(_sketches(batch.column(c).to_pylist()) for c in ("sketch_a", "sketch_b")))
+        close = _may_link(near, *(batch.column(c).to_numpy() for c in ("n_a", "n_b")))
+        keep = pa.array(near >= LOOSE)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(near).filter(keep), pa.array(close).filter(keep)], names=["a", "b", "near", "close"],
+        )
+
+
+def _links_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the classes in `one` with those in `other`, both arrays of (key, root, n, sketch, items).
+
+    Roots that a link has tied count as one from then on, so that what leaves is a forest.
+    """
+    for batch in batches:
+        for k in range(len(batch)):
+            one, other = batch.column("one")[k].as_py(), batch.column("other")[k].as_py()
+            parent: dict[bytes, bytes] = {}
+
+            def root(x: bytes, parent: dict[bytes, bytes] = parent) -> bytes:
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            sketches, sizes = _sketches([y["sketch"] for y in other]), np.array([y["n"] for y in other])
+            sets = [np.frombuffer(y["items"], np.uint64) for y in other]
+            found: tuple[list[bytes], list[bytes]] = ([], [])
+            for x in one:
+                near = _agreement(np.frombuffer(x["sketch"], np.uint8), sketches)
+                at = np.flatnonzero(_may_link(near, np.int64(x["n"]), sizes))
+                mine = np.frombuffer(x["items"], np.uint64)
+                for i in at[np.argsort(-near[at], kind="stable")].tolist():
+                    if root(x["root"]) == root(other[i]["root"]):
+                        continue
+                    both = len(np.intersect1d(mine, sets[i], assume_unique=True))
+                    if 100 * both >= PERCENT * (len(mine) + len(sets[i]) - both):
+                        parent[root(x["root"])] = root(other[i]["root"])
+                        found[0].append(x["key"])
+                        found[1].append(other[i]["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], names=["a", "b"])
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, near) of the pairs whose sketches and sizes allow a link."""
+    """(a, b, near, close) of the pairs whose sketches agree at least loosely."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_agreement, "a binary, b binary, near double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_agreement, "a binary, b binary, near double, close boolean")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,10 +293,10 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = _ordered(found.where("kind = 0").select("a", "b").union(across))
     near = materialise(_estimated(pairs, classes), "near")
 
-    ends = near.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "near")
+    close = near.where("close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "near")
     some = W.partitionBy("node").orderBy((F.col("near") < 0.8).cast("int"), F.xxhash64("a", "b"), "a", "b")
     first = ends.withColumn("r", F.row_number().over(some)).where(F.col("r") <= FIRST_LINKS).select("a", "b").distinct()
-    dense = found.where("kind = 1").select("tree", prefix.alias("prefix"), F.col("a").alias("key"))
     nodes = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = materialise(_full_sets(docs, classes, nodes), "sets")
     linked = _confirmed(first, sets)
@@ -271,29 +312,36 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components after more links: each node is tied to its root."""
         return connected_components(more.select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    second = materialise(_confirmed(crossing(near, roots), sets), "links")
+    second = materialise(_confirmed(crossing(close, roots), sets), "links")
     if not second.isEmpty():
         roots = joined_by(second, roots)
 
-    # the rest of dense regions
-    placed = dense.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    parts = placed.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("tree", "prefix").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts"))
-    apart = placed.join(largest.where("parts > 1"), ["tree", "prefix"])
-    one = apart.where("root <> largest").select("tree", "prefix", F.col("key").alias("a"), F.col("root").alias("r_a"))
-    other = apart.select("tree", "prefix", F.col("key").alias("b"), F.col("root").alias("r_b"))
-    rest = one.join(other, ["tree", "prefix"]).where("r_a <> r_b").select("a", "b")
-    left_over = materialise(_estimated(_ordered(rest).join(near.select("a", "b"), ["a", "b"], "left_anti"), classes), "rest")
-    if not left_over.isEmpty():
-        more_nodes = left_over.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        third = materialise(_confirmed(left_over, _full_sets(docs, classes, more_nodes)), "links")
-        if not third.isEmpty():
-            roots = joined_by(third, roots)
+    rest = materialise(_family_links(near, classes, sets, roots), "links")
+    if not rest.isEmpty():
+        roots = joined_by(rest, roots)
     for old in (found, near, sets):
         discard(old)
     return classes, roots
 
 
+def _family_links(near: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of each family of more than NEAR + 1 classes."""
+    families = connected_components(near.select("a", "b")).select(F.col("node").alias("key"), F.col("root").alias("family"))
+    placed = families.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parts = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    whole = whole.where((F.col("parts") > 1) & (F.col("size") > NEAR + 1)).select(
+        "family", F.col("largest.root").alias("largest"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("largest.n")) / BLOCK).alias("query_blocks"),
+    )
+    rows = placed.join(whole, "family").join(classes.select("key", F.col("n_shingles").alias("n"), "sketch"), "key").join(sets, "key")
+    spread = lambda blocks: F.pmod(F.xxhash64("key"), F.col(blocks))
+    item = F.struct("key", "root", "n", "sketch", "items")
+    one = rows.where("root <> largest").groupBy("family", spread("query_blocks").alias("q")).agg(F.collect_list(item).alias("one"))
+    other = rows.groupBy("family", spread("blocks").alias("block")).agg(F.collect_list(item).alias("other"), F.first("query_blocks").alias("query_blocks"))
+    each = other.select("family", "block", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_blocks") - 1)).alias("q"))
+    return each.join(one, ["family", "q"]).select("one", "other").mapInArrow(_links_between, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     signed = materialise(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
