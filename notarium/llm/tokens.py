@@ -13,8 +13,8 @@ that holds it.  A shard is three Arrow IPC files beside each other:
 A file is written under a name of the attempt and then renamed, so a lost executor or a second attempt leaves no half
 files; contents depend on the input alone.
 
-Encoding: a text is cut before each run of white space; no token crosses such a cut, since the tokenizer's own pattern
-starts a piece there.  So each distinct piece of a batch is encoded once by the tokenizers library, and texts are put
+Encoding: a text is cut before each run of white space, and between an ASCII letter and a mark; no token crosses such a
+cut, since the tokenizer's own pattern starts a piece there.  So each distinct piece of a batch is encoded once by the tokenizers library, and texts are put
 together from the pieces' ids with numpy.  Texts with white space outside ASCII, and tokenizers that aren't byte-level
 with that pattern, are encoded whole.
 
@@ -41,11 +41,15 @@ SEQUENCE = 1024
 BATCH = 256
 END_ID = 0
 #: Most pieces that a worker remembers; then it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 #: White space outside ASCII, in UTF-8: where it occurs, a text is encoded whole.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3, *range(0x1C, 0x20)])
+_LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
+_MARK = np.isin(np.arange(256), list(b".,;:!?|#$%&*"))
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -59,6 +63,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
+        plain = [t for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.between = plain[0].content if self.by_piece and plain else ""
+        self.between_id = self.tokenizer.token_to_id(self.between) if self.between else -1
         self.forget()
 
     def forget(self) -> None:
@@ -67,15 +74,28 @@ class Encoder:
         self.ids = np.zeros(1 << 20, self.type)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def separately(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and the number of ids of each.
+
+        Many pieces go through the library as one text, with a special token between them: it splits the text before
+        anything else happens.
+        """
+        joined = [self.between.join(pieces[k : k + 1000]) for k in range(0, len(pieces), 1000)] if self.between else []
+        if not joined or sum(x.count(self.between) for x in joined) != len(pieces) - len(joined):
+            lists = self.whole(pieces)
+            return np.fromiter((i for x in lists for i in x), self.type), np.fromiter(map(len, lists), np.int64, len(lists))
+        parts = [np.array([*x, self.between_id], self.type) for x in self.whole(joined)]
+        flat = np.concatenate(parts)
+        ends = np.flatnonzero(flat == self.between_id)
+        return flat[flat != self.between_id], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        lists = self.whole(pieces)
-        n, have = len(lists), len(self.known)
+        flat, counts = self.separately(pieces)
+        n, have = len(pieces), len(self.known)
         while len(self.begin) < have + n:
             self.begin, self.count = np.concatenate([self.begin, self.begin * 0]), np.concatenate([self.count, self.count * 0])
-        flat = np.fromiter((i for x in lists for i in x), self.type)
-        counts = np.fromiter(map(len, lists), np.int64, n)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, self.ids * 0])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -89,13 +109,14 @@ class Encoder:
         from . import textvec as tv
 
         for _, raw, offs in tv.blocks(column, 4 << 20):
-            if not self.by_piece or _OTHER_SPACE.search(raw.tobytes() if len(raw) else b""):
+            if not self.by_piece or (_LEAD[raw].any() and _OTHER_SPACE.search(raw.tobytes())):
                 lists = self.whole([raw[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
                 yield np.fromiter((i for x in lists for i in x), self.type), np.fromiter(map(len, lists), np.int64, len(lists))
                 continue
             space = tv.SPACE[raw]
             cut = space.copy()
             cut[1:] &= ~space[:-1]
+            cut[1:] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]
             cut[offs[:-1][offs[:-1] < len(raw)]] = True
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(raw))[: len(starts)]
@@ -257,7 +278,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     earlier = F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     placed = shards.select("shard", "base", F.coalesce(earlier, F.lit(0)).alias("before"))
-    return placed.repartition(F.col("shard")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # as many tasks as shards: the rows are few, what they name is not
+    return placed.repartition(max(1, shards.count()), F.col("shard")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
