@@ -80,7 +80,7 @@ def read_statuses(spark: SparkSession, root: str) -> DataFrame:
     if not os.path.isdir(f"{root}/projects"):
         raise FileNotFoundError(f"{root}/projects")
     files = [f for f in sorted(glob.glob(f"{root}/projects/*/github/status.json")) if not f.split("/")[-3].startswith("_")]
-    schema = schemas.STATUS.add("_corrupt_record", "string") if "_corrupt_record" not in schemas.STATUS.names else schemas.STATUS
+    schema = schemas.STATUS + ", _corrupt_record STRING"
     if not files:
         return spark.createDataFrame([], schema).drop("_corrupt_record")
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(files).persist()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 
 class Store:
@@ -25,10 +24,16 @@ class Store:
         text = self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()
         return dict(line.split("\t") for line in (text.value if text else "").split("\n") if line)
 
-    def read(self, name: str, schema: StructType) -> DataFrame:
+    def read(self, name: str, schema: str) -> DataFrame:
         at = self._pointer().get(name)
         return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """df written beside the tables and read back, so that it is computed once."""
+        at = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
     def commit(self, **tables: DataFrame) -> None:
         """Write new versions of some tables and then move the pointer once; a failure before that changes nothing."""
         now = self._pointer()
