@@ -92,3 +92,23 @@ def contaminated(docs, bench):
 
 def counts(rows):
     return Counter(map(tuple, rows))
+
+
+PHRASES = (
+    "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "sign in to", "subscribe to", "terms of service", "terms of use",
+)
+
+
+def cleaned(text):
+    """(kept, text without failing lines) by the quality rules."""
+    n, *_, failed = base(text)
+    lines, good = [x for x in (text or "").split("\n") if WORD.search(x)], []
+    for line in lines:
+        w = len(WORD.findall(line))
+        count = lambda chars, line=line: sum(c in chars for c in line)
+        bad = 10 * count("#*$%&|<>") > 3 * w or (w >= 4 and line.upper() == line and line.lower() != line) or (w >= 8 and not count(".!?:;"))
+        bad = bad or (w >= 3 and 5 * count("|>•»") >= w) or any(p in line.lower() for p in PHRASES)
+        if not bad:
+            good.append(line)
+    left = sum(len(WORD.findall(x)) for x in good)
+    return not failed and left >= 0.5 * n, text if len(good) == len(lines) else "\n".join(good)

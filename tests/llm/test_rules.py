@@ -30,3 +30,17 @@ def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, kept int, n_words string")
     (row,) = rules.judge(docs).collect()
     assert row.kept is False and row.n_words == 2
+
+
+def test_verdicts_match_brute_force(spark):
+    import random
+
+    from .brute import cleaned
+
+    rng = random.Random(12)
+    parts = ["Plain words that make a line.", "HOME | ABOUT | NEWS", "a b c d e f g h i j", "ALL CAPS LINE HERE", "x### y$$$ z.", "All Rights Reserved.", "", "short", "one > two > three > four", "Click here to read: more;"]
+    rows = [(i, "\n".join(rng.choice(parts) for _ in range(rng.randint(0, 9))), "en", "a", 1) for i in range(300)]
+    got = {r.doc_id: (r.kept, r.text if not r.n_bad_lines else r.clean_text) for r in judged(spark, rows).collect()}
+    assert got == {r[0]: cleaned(r[1]) for r in rows}
+    kept = {r.doc_id: r.text for r in rules.clean(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert kept == {k: t for k, (ok, t) in got.items() if ok}
