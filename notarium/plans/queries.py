@@ -283,21 +283,40 @@ def text_chunks(spark, sf_dir):
     return chunking.numbered(rows).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
 
 
-@query()
-def markdown_chunks(spark, sf_dir):
-    rows = chunking.markdown_chunks(ds.markdown(spark, sf_dir)).select("doc_id", "chunks")
-    return chunking.numbered(rows).select("doc_id", "chunk_index", "chunk.content", "chunk.heading")
+def _pack_sql(paragraphs: str, pre: str) -> str:
+    """Greedy packing with the prefix before each chunk, as a fold."""
+    joined = "CASE WHEN acc.b = '' THEN x.b ELSE acc.b || chr(10) || chr(10) || x.b END"
+    fold = f"""list_reduce(list_transform({paragraphs}, lambda x: {{'o': CAST([] AS VARCHAR[]), 'b': x}}), lambda acc, x:
+      CASE WHEN length({pre}) + length({joined}) > 6000 AND acc.b <> '' THEN {{'o': list_concat(acc.o, {_emit_sql(f"({pre} || acc.b)", 0)}), 'b': x.b}} ELSE {{'o': acc.o, 'b': {joined}}} END,
+      {{'o': CAST([] AS VARCHAR[]), 'b': ''}})"""
+    return f"list_transform([{fold}], lambda s: CASE WHEN s.b = '' THEN s.o ELSE list_concat(s.o, {_emit_sql(f'({pre} || s.b)', 0)}) END)[1]"
 
 
-@query("""
-WITH l AS (SELECT doc_id, i, CASE i % 7 WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 6 THEN 3 ELSE 0 END AS level, x FROM (
+_CRUMBS = """
+WITH l AS (SELECT doc_id, i, CASE i % 7 WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 6 THEN 3 ELSE 0 END AS lv, x FROM (
   SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-h AS (SELECT doc_id, i, CASE WHEN trim(x) = '' THEN 0 ELSE level END AS level, trim(x) AS t FROM l),
+h AS (SELECT doc_id, i, CASE WHEN trim(x) = '' THEN 0 ELSE lv END AS level, trim(x) AS t, CASE WHEN lv > 0 THEN repeat('#', lv) || ' ' ELSE '' END || x AS line FROM l),
 m AS (SELECT *, max(CASE WHEN level = 1 THEN i END) OVER w AS p1, max(CASE WHEN level = 2 THEN i END) OVER w AS p2, max(CASE WHEN level = 3 THEN i END) OVER w AS p3,
-  max_by(t, i) FILTER (level = 1) OVER w AS t1, max_by(t, i) FILTER (level = 2) OVER w AS t2, max_by(t, i) FILTER (level = 3) OVER w AS t3
-  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
-SELECT doc_id, i AS line, concat_ws(' > ', CASE WHEN p1 IS NOT NULL THEN '# ' || t1 END, CASE WHEN p2 > coalesce(p1, 0) THEN '## ' || t2 END,
-  CASE WHEN p3 > greatest(coalesce(p1, 0), coalesce(p2, 0)) THEN '### ' || t3 END) AS heading FROM m WHERE level > 0""")
+  max_by(t, i) FILTER (level = 1) OVER w AS t1, max_by(t, i) FILTER (level = 2) OVER w AS t2, max_by(t, i) FILTER (level = 3) OVER w AS t3, count(*) FILTER (level > 0) OVER w AS sec
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+crumbs AS (SELECT doc_id, i, level, line, sec, concat_ws(' > ', CASE WHEN p1 IS NOT NULL THEN '# ' || t1 END, CASE WHEN p2 > coalesce(p1, 0) THEN '## ' || t2 END,
+  CASE WHEN p3 > greatest(coalesce(p1, 0), coalesce(p2, 0)) THEN '### ' || t3 END) AS crumb FROM m)
+"""
+_WS = "chr(32) || chr(10) || chr(9)"
+
+
+@query(_CRUMBS + f""", s AS (
+  SELECT doc_id, sec, any_value(crumb) AS crumb, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), {_WS}) AS text FROM crumbs GROUP BY doc_id, sec),
+k AS (SELECT *, CASE WHEN crumb <> '' THEN crumb || chr(10) || chr(10) ELSE '' END AS pre FROM s WHERE length(text) >= 200),
+c AS (SELECT doc_id, sec, crumb, CASE WHEN length(pre || text) <= 6000 THEN [pre || text] ELSE {_pack_sql(f"list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_WS}) <> '')", "pre")} END AS cs FROM k),
+u AS (SELECT doc_id, sec, crumb, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, i) - 1 AS chunk_index, cs[i] AS content, nullif(crumb, '') AS heading FROM u""")
+def markdown_chunks(spark, sf_dir):
+    rows = chunking.markdown_chunks(ds.markdown(spark, sf_dir)).select("doc_id", "chunks")
+    return chunking.numbered(rows).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk.content", "chunk.heading")
+
+
+@query(_CRUMBS + "SELECT doc_id, i AS line, crumb AS heading FROM crumbs WHERE level > 0")
 def markdown_breadcrumbs(spark, sf_dir):
     """The breadcrumb at every heading line."""
     lines = ds.markdown(spark, sf_dir).withColumn("l", F.split("content", "\n"))
@@ -308,7 +327,7 @@ def markdown_breadcrumbs(spark, sf_dir):
     return sections.where("k > 0").select("doc_id", "k", "s.heading").join(numbered, ["doc_id", "k"]).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "heading")
 
 
-@query(f"""
+_PAGES = f"""
 WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS pages FROM conversations GROUP BY conv_id),
 f AS (SELECT conv_id, len(pages) AS n, list_reduce(list_transform(pages[2:], lambda p, i: {{'o': CAST([] AS STRUCT(text VARCHAR, a BIGINT, z BIGINT)[]), 'now': p, 'a': i}}), lambda acc, x:
   CASE WHEN (trim(acc.now, chr(32) || chr(10) || chr(9)) <> '' AND NOT regexp_matches(trim(acc.now, chr(32) || chr(10) || chr(9)), '[.!?:;)\\]"'']\\s*$')) OR length(trim(acc.now, chr(32) || chr(10) || chr(9))) < 200
@@ -316,16 +335,24 @@ f AS (SELECT conv_id, len(pages) AS n, list_reduce(list_transform(pages[2:], lam
   ELSE {{'o': list_append(acc.o, {{'text': trim(acc.now, chr(32) || chr(10) || chr(9)), 'a': acc.a, 'z': x.a}}), 'now': trim(x.now, chr(32) || chr(10) || chr(9)), 'a': x.a + 1}} END,
   {{'o': CAST([] AS STRUCT(text VARCHAR, a BIGINT, z BIGINT)[]), 'now': pages[1], 'a': CAST(1 AS BIGINT)}}) AS s FROM t),
 m AS (SELECT conv_id, unnest(list_append(s.o, {{'text': trim(s.now, chr(32) || chr(10) || chr(9)), 'a': s.a, 'z': n}})) AS x FROM f)
-SELECT conv_id, x.a AS first, x.z AS last, x.text AS text FROM m""")
+"""
+
+
+@query(_PAGES + "SELECT conv_id, x.a AS first, x.z AS last, x.text AS text FROM m")
 def pdf_merge(spark, sf_dir):
     rows = ds.paged(spark, sf_dir).select("conv_id", F.explode(chunking.merged_pages(F.col("pages"))).alias("m"))
     return rows.select("conv_id", F.col("m.first").cast("long").alias("first"), F.col("m.last").cast("long").alias("last"), "m.text")
 
 
-@query()
+@query(_PAGES + f""", k AS (
+  SELECT conv_id, x.a AS a, x.z AS z, x.text AS text, CASE WHEN x.a = x.z THEN '[Page ' || x.a || ']' ELSE '[Pages ' || x.a || '-' || x.z || ']' END || chr(10) || chr(10) AS pre FROM m WHERE length(x.text) >= 200),
+c AS (SELECT conv_id, a, z, CASE WHEN length(pre || text) <= 6000 THEN [pre || text] ELSE {_pack_sql(f"list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_WS}) <> '')", "pre")} END AS cs FROM k),
+u AS (SELECT conv_id, a, z, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY a, i) - 1 AS chunk_index, cs[i] AS content, a - 1 AS page, z - 1 AS page_end FROM u""")
 def pdf_chunks(spark, sf_dir):
     rows = ds.paged(spark, sf_dir).select("conv_id", chunking.page_chunks(F.col("pages")).alias("chunks"))
-    return chunking.numbered(rows).select("conv_id", "chunk_index", "chunk.*")
+    out = chunking.numbered(rows).select("conv_id", "chunk_index", "chunk.*")
+    return out.select("conv_id", "content", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "page", "page_end")])
 
 
 _COMMENTS = """
