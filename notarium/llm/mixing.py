@@ -14,8 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD_SEPARATORS
-
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 

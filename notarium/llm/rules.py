@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD_SEPARATORS, words
+from .common import words
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
