@@ -15,6 +15,11 @@ MAX_CHUNK, MIN_CHUNK, OVERLAP = 6000, 200, 800
 _STRINGS = "array<string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, and written once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hard_split(text: Column, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> Column:
     """Pieces of `size` characters that overlap; when they would not advance, only the first."""
     step = size - overlap
@@ -27,8 +32,12 @@ def hard_split(text: Column, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> C
 
 def _emit(content: Column, least: int) -> Column:
     """The chunks of one content: split if too long, none if shorter than `least`, else itself."""
-    whole = F.array(content) if not least else F.when(F.char_length(trim_all(content)) >= least, F.array(content)).otherwise(F.array().cast(_STRINGS))
-    return F.when(F.char_length(content) > MAX_CHUNK, hard_split(content)).otherwise(whole)
+
+    def chunks(c: Column) -> Column:
+        whole = F.array(c) if not least else F.when(F.char_length(trim_all(c)) >= least, F.array(c)).otherwise(F.array().cast(_STRINGS))
+        return F.when(F.char_length(c) > MAX_CHUNK, hard_split(c)).otherwise(whole)
+
+    return let(content, chunks)
 
 
 def pack(paragraphs: Column, prefix: Column, *, first_only: bool = False, least: int = 0) -> Column:
@@ -36,18 +45,22 @@ def pack(paragraphs: Column, prefix: Column, *, first_only: bool = False, least:
 
     first_only: the prefix stands before the chunks until one is emitted; otherwise before each.
     """
-    prefix = F.coalesce(prefix, F.lit(""))
-    here: Callable[[Column], Column] = (lambda out: F.when(F.size(out) == 0, prefix).otherwise(F.lit(""))) if first_only else (lambda out: prefix)
 
-    def step(acc: Column, p: Column) -> Column:
-        joined = F.when(acc["b"] == "", p).otherwise(F.concat(acc["b"], F.lit("\n\n"), p))
-        full = (F.char_length(here(acc["o"])) + F.char_length(joined) > MAX_CHUNK) & (acc["b"] != "")
-        out = F.when(full, F.concat(acc["o"], _emit(F.concat(here(acc["o"]), acc["b"]), least))).otherwise(acc["o"])
-        return F.struct(out.alias("o"), F.when(full, p).otherwise(joined).alias("b"))
+    def fold(prefix: Column) -> Column:
+        here = (lambda out: F.when(F.size(out) == 0, prefix).otherwise(F.lit(""))) if first_only else (lambda out: prefix)
+        add = lambda acc: F.concat(acc["o"], _emit(F.concat(here(acc["o"]), acc["b"]), least))
+
+        def step(acc: Column, p: Column) -> Column:
+            def decided(joined: Column) -> Column:
+                full = (F.char_length(here(acc["o"])) + F.char_length(joined) > MAX_CHUNK) & (acc["b"] != "")
+                return F.when(full, F.struct(add(acc).alias("o"), p.alias("b"))).otherwise(F.struct(acc["o"].alias("o"), joined.alias("b")))
 
-    zero = F.struct(F.array().cast(_STRINGS).alias("o"), F.lit("").alias("b"))
-    finish = lambda acc: F.when(trim_all(acc["b"]) == "", acc["o"]).otherwise(F.concat(acc["o"], _emit(F.concat(here(acc["o"]), acc["b"]), least)))
-    return F.aggregate(paragraphs, zero, step, finish)
+            return let(F.when(acc["b"] == "", p).otherwise(F.concat(acc["b"], F.lit("\n\n"), p)), decided)
+
+        zero = F.struct(F.array().cast(_STRINGS).alias("o"), F.lit("").alias("b"))
+        return F.aggregate(paragraphs, zero, step, lambda acc: F.when(trim_all(acc["b"]) == "", acc["o"]).otherwise(add(acc)))
+
+    return let(F.coalesce(prefix, F.lit("")), fold)
 
 
 def paragraphs(text: Column, trimmed: bool = False) -> Column:
@@ -60,6 +73,10 @@ def text_chunks(content: Column, file_name: Column) -> Column:
     return pack(paragraphs(content, trimmed=True), F.concat(F.lit("[Source: "), file_name, F.lit("]\n\n")), first_only=True, least=MIN_CHUNK)
 
 
+def _whole_or_packed(prefix: Column, text: Column) -> Column:
+    return F.when(F.char_length(prefix) + F.char_length(text) <= MAX_CHUNK, F.array(F.concat(prefix, text))).otherwise(pack(paragraphs(text), prefix))
+
+
 # -- Markdown -------------------------------------------------------------------------------------------------------
 
 _HEADING = r"\A(#{1,3})(?U:\s|\x{FEFF})+([^\n\r\x{2028}\x{2029}]+)\z"
@@ -115,8 +132,7 @@ def markdown_chunks(docs: DataFrame, text: str = "content") -> DataFrame:
     def chunks(s: Column, i: Column) -> Column:
         line = lambda x: F.when(x != "", F.concat(x, F.lit("\n\n"))).otherwise(F.lit(""))
         prefix = F.concat(F.when(i == 0, line(F.col("front_matter"))).otherwise(F.lit("")), line(s["heading"]))
-        whole = F.concat(prefix, s["text"])
-        parts = F.when(F.char_length(whole) <= MAX_CHUNK, F.array(whole)).otherwise(pack(paragraphs(s["text"]), prefix))
+        parts = let(prefix, lambda p: _whole_or_packed(p, s["text"]))
         return F.transform(parts, lambda c: F.struct(c.alias("content"), F.nullif(s["heading"], F.lit("")).alias("heading")))
 
     return kept.withColumn("chunks", F.flatten(F.transform("sections", chunks))).drop("sections", "front_matter")
@@ -154,8 +170,7 @@ def page_chunks(pages: Column) -> Column:
     def chunks(m: Column) -> Column:
         first, last = m["first"].cast("string"), m["last"].cast("string")
         label = F.when(m["first"] == m["last"], F.concat(F.lit("[Page "), first, F.lit("]\n\n"))).otherwise(F.concat(F.lit("[Pages "), first, F.lit("-"), last, F.lit("]\n\n")))
-        whole = F.concat(label, m["text"])
-        parts = F.when(F.char_length(whole) <= MAX_CHUNK, F.array(whole)).otherwise(pack(paragraphs(m["text"]), label))
+        parts = let(label, lambda p: _whole_or_packed(p, m["text"]))
         return F.transform(parts, lambda c: F.struct(c.alias("content"), (m["first"] - 1).alias("page"), (m["last"] - 1).alias("page_end")))
 
     return F.flatten(F.transform(kept, chunks))
