@@ -64,6 +64,12 @@ def words(text: Column, separators: str = WORD_SEPARATORS) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
 
 
+def shielded(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """docs with columns of these names renamed out of the way, and what its columns are called then, in order."""
+    now = [f"_own_{c}" if c.lower() in names else c for c in docs.columns]
+    return docs.toDF(*now), now
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo mod."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod

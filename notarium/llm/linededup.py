@@ -40,7 +40,7 @@ def line_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the later occurrences of repeated windows removed from text, and n_lines, n_removed."""
-    passed = [c for c in docs.columns if c not in _ADDED]
+    passed = [c for c in docs.columns if c.lower() not in _ADDED]
     windows = line_windows(docs, window)
     repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first")).where("n > 1").select("h", "first")
     later = windows.join(repeated, "h").where(F.struct("ord", "pos") > F.col("first"))

@@ -14,8 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import shielded
+
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+_ADDED = ("size", "source_size", "target", "rate", "copies")
 
 
 def text_size(text: Column) -> Column:
@@ -57,7 +60,7 @@ def draw(key: Column, seed: str) -> Column:
 
 def mix_documents(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix takes the document)."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
+    kept = [c for c in docs.columns if c.lower() not in _ADDED]
     sized = docs.select(*kept, text_size(F.col("text")).alias("size"))
     targets = source_targets(docs.select("source", text_size(F.col("text")).alias("size")), weights, most)
     rated = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")), "left")
@@ -68,5 +71,6 @@ def mix_documents(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] =
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns of docs."""
-    mixed = mix_documents(docs, **options)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    own, now = shielded(docs, (*_ADDED, "copy"))
+    mixed = mix_documents(own, **options).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return mixed.select(*[F.col(n).alias(c) for n, c in zip(now, docs.columns, strict=True)])

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import words
+from .common import shielded, words
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -76,7 +76,7 @@ def line_fails(line: Column, n_words: Column) -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs with n_words, the base figures, base_failed, kept, clean_text, n_lines, n_bad_lines and kept_words."""
-    passed = [c for c in docs.columns if c not in _ADDED]
+    passed = [c for c in docs.columns if c.lower() not in _ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(*passed, F.transform(words(text), lambda w: F.xxhash64(w)).alias("_h"), F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("_lines"))
     windows = F.when(
@@ -116,7 +116,8 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     # a filter on kept would be pushed below and evaluate every rule once more per use; it stays above a column that isn't
     # deterministic
-    judged = judge(docs).withColumn("_part", F.spark_partition_id()).where("kept AND _part >= 0")
+    own, now = shielded(docs, (*_ADDED, "_h", "_w", "_p", "_s", "_l", "_g", "_lines", "_part"))
+    judged = judge(own).withColumn("_part", F.spark_partition_id()).where("kept AND _part >= 0")
     text = F.when(F.col("n_bad_lines") == 0, F.col("text")).otherwise(F.col("clean_text"))
-    own = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return judged.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return judged.select(*[new.get(n, F.col(n)).alias(c) for n, c in zip(now, docs.columns, strict=True)])

@@ -45,3 +45,9 @@ def test_odd_rows(spark):
     assert len(got) == len(ODD) and all(r.copies is not None for r in got)
     assert {r.size for r in got if r.doc_id in (1, 2, 3)} == {0}
     assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_columns_of_the_same_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, "x", 3.0)], "doc_id long, text string, source string, size int, Rate string, copies double")
+    assert mixing.repeat_documents(docs).collect() == docs.collect()
+    assert mixing.mix_documents(docs).first().size == 2

@@ -30,6 +30,9 @@ def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, kept int, n_words string")
     (row,) = rules.judge(docs).collect()
     assert row.kept is False and row.n_words == 2
+    prose = "This is a plain sentence that says something, and it ends well."
+    docs = spark.createDataFrame([(1, prose, 5, "x", 9)], "doc_id long, text string, Kept int, n_words string, _l int")
+    assert rules.clean(docs).collect() == docs.collect()
 
 
 def test_verdicts_match_brute_force(spark):
