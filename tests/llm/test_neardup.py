@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
+from notarium.llm import components as components_module
 from notarium.llm import neardup
-from notarium.llm.components import connected_components
 
 from .brute import DOC_SCHEMA, ODD, components, counts
 
@@ -53,9 +55,13 @@ def test_odd_rows_empty_table_and_deduplicate(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("local", [5, 10**6])
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_of_a_long_chain(spark, monkeypatch, local, shuffled):
+    monkeypatch.setattr(components_module, "LOCAL", local)
     order = list(range(60))
-    random.Random(1).shuffle(order)
-    edges = [(order[i], order[i + 1]) for i in range(59)] + [(100, 101), (7, 7)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert len({got[i] for i in range(60)}) == 1 and got[100] == got[101] != got[0]
+    if shuffled:
+        random.Random(1).shuffle(order)
+    edges = [(order[i], order[i + 1]) for i in range(59)] + [(100, 101), (7, 7), (200, 200)]
+    got = {r.node: r.root for r in components_module.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(60)}) == 1 and got[100] == got[101] != got[0] and got[200] == 200 and len(got) == 63
