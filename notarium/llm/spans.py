@@ -25,6 +25,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
+from .common import materialise
+
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
 _LAST = 2**63 - 1
@@ -124,7 +126,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("ord"))
     found = rows.select("row", "ord", "text").mapInArrow(_span_rows, "row long, ord long, pos int, size int, h long")
     counted = found.select("h", "ord", "pos").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("o"), F.min(F.struct("ord", "pos"))["pos"].alias("p"))
-    repeated = counted.where("n > 1").select("h", "o", "p")
+    # written down: the join then reads two plain exchanges, of which Spark splits the parts with hot spans
+    repeated = materialise(counted.where("n > 1").select("h", "o", "p"), "repeated")
     later = found.join(repeated, "h").where("ord > o OR (ord = o AND pos > p)")
     marked = later.groupBy("row").agg(F.collect_set(F.struct("pos", "size")).alias("found"))
     joined = rows.join(marked, "row", "left").select("doc_id", "text", "found")
