@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import materialise
+
 WINDOW = 3
 _LAST = 2**63 - 1
 _ADDED = ("n_lines", "n_removed", "_row", "_key", "_lines", "_starts", "_kept")
@@ -42,7 +44,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the later occurrences of repeated windows removed from text, and n_lines, n_removed."""
     passed = [c for c in docs.columns if c.lower() not in _ADDED]
     windows = line_windows(docs, window)
-    repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first")).where("n > 1").select("h", "first")
+    # written down: the join then reads two plain exchanges, of which Spark splits the parts with hot windows
+    repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first")).where("n > 1")
+    repeated = materialise(repeated.select("h", "first"), "repeated")
     later = windows.join(repeated, "h").where(F.struct("ord", "pos") > F.col("first"))
     starts = later.groupBy(F.col("row").alias("_key")).agg(F.collect_set("pos").alias("_starts"))
     rows = docs.select(*passed, F.xxhash64("doc_id", "text").alias("_row"))
