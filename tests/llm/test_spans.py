@@ -70,3 +70,35 @@ def test_empty_and_clashing(spark):
     docs = spark.createDataFrame(ODD, DOC_SCHEMA).selectExpr("*", "1 AS row", "2 AS h", "3 AS pos")
     assert spans.dedup_spans(docs).count() == len(ODD)
     assert spans.dedup_spans(docs.limit(0)).count() == 0
+
+
+def windows(text, n=50):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
+def test_no_passage_of_fifty_words_stays_twice(spark):
+    """One-sentence texts, and passages planted within sentences of any length, against all windows of 50 words."""
+    rng = random.Random(8)
+
+    def prose(n, mean):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) + ("." if mean and rng.random() * mean < 1 else "") for _ in range(n))
+
+    lone = [prose(n, 0) for n in (51, 60, 200)]
+    rows = [(1 + i, lone[i % 3]) for i in range(6)] + [(7, prose(90, 0) + " et.&&&"), (8, "a " * 400), (9, prose(300, 0)), (10, prose(300, 8))]
+    planted = []
+    for i in range(60):
+        passage = prose(rng.randint(51, 70), (0, 60, 30, 15, 6)[i % 5])
+        for k in range(2):
+            head, tail = prose(rng.randint(0, 60), (0, 40, 10)[(i + k) % 3]), prose(rng.randint(0, 60), (40, 0, 10)[(i + k) % 3])
+            rows.append((100 + 2 * i + k, f"{head} {passage} {tail}"))
+        planted.append(101 + 2 * i)
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = [w for d, text in rows if d != 8 for w in windows(got[d].text)]
+    assert len(left) == len(set(left))
+    later = {4, 5, 6, *planted}
+    for doc, text in rows:
+        assert got[doc].changed == (doc in later) and (got[doc].n_removed > 0) == (doc in later), doc
+        assert doc in later or got[doc].text == text
+        assert len((got[doc].text or "").split()) == len(text.split()) - got[doc].removed_words
+    assert all(got[d].removed_words >= 20 for d in later)
