@@ -1,8 +1,9 @@
 r"""Substring dedup by sliding sentence spans (operator 9).
 
 A sentence ends with a word that ends in . ! or ? (closing quotes and brackets aside), at a line break, or with the
-text.  From every sentence begins one span: the shortest run of at least LEAST_SENTENCES sentences that has LEAST_WORDS
-words.  Spans are hashed over their words, A-Z lower-cased, so that white space does not matter.  Spans that occur more
+text.  From every sentence begins one span, the shortest run of at least LEAST_SENTENCES sentences that has LEAST_WORDS
+words, and with every sentence ends one, the shortest such run backwards; so the last whole sentences of a repeated
+passage go as its first do.  Spans are hashed over their words, A-Z lower-cased, so that white space does not matter.  Spans that occur more
 than once anywhere keep their first occurrence, in order of doc_id and position; what a later occurrence covers is
 removed.
 
@@ -105,8 +106,11 @@ def spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     words = tv.span_hashes(tv.LOWER[raw], starts, ends)
     doc = np.repeat(np.arange(len(own) - 1), np.diff(own))
     stop = np.maximum(np.searchsorted(begin, begin[:-1] + LEAST_WORDS), np.arange(n) + LEAST_SENTENCES)
-    at = np.flatnonzero(stop <= own[doc + 1])
-    doc, at, size = doc[at], begin[at], begin[stop[at]] - begin[at]
+    start = np.minimum(np.searchsorted(begin, begin[1:] - LEAST_WORDS, "right"), np.arange(1, n + 1) - LEAST_SENTENCES + 1) - 1
+    at, back = np.flatnonzero(stop <= own[doc + 1]), np.flatnonzero(start >= own[doc])
+    back = back[stop[start[back]] != back + 1]
+    at, stop = np.concatenate([at, start[back]]), np.concatenate([stop[at], back + 1])
+    doc, at, size = doc[at], begin[at], begin[stop] - begin[at]
     power, inverse = tv._power(len(words) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
     with np.errstate(over="ignore"):

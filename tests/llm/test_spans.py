@@ -102,3 +102,31 @@ def test_no_passage_of_fifty_words_stays_twice(spark):
         assert doc in later or got[doc].text == text
         assert len((got[doc].text or "").split()) == len(text.split()) - got[doc].removed_words
     assert all(got[d].removed_words >= 20 for d in later)
+
+
+def test_short_last_sentences_of_a_passage(spark):
+    passage = " ".join(" ".join(f"w{n}x{i}" for i in range(n - 1)) + f" end{k}." for k, n in enumerate((25, 18, 5, 5)))
+    rows = [(1, f"A first start. {passage} More of the first text here."), (2, f"Some other start. {passage} Another text goes on.")]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[1].changed
+    assert got[2].text.split() == "Some other start. Another text goes on.".split()
+    assert (got[2].n_removed, got[2].removed_words) == (4, 53)
+
+
+def test_runs_from_both_ends_match_brute_force():
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [" ".join("w" + rng.choice(["", "", "", "."]) for _ in range(rng.randint(0, 120))) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    doc, pos, size, _ = spans.spans(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got = set(zip(doc.tolist(), pos.tolist(), size.tolist()))
+    want = set()
+    for d, text in enumerate(texts):
+        n = [len(x) for x in split(text)]
+        ok = {(i, j) for i in range(len(n)) for j in range(i + 2, len(n) + 1) if sum(n[i:j]) >= 20}
+        for i, j in ok:
+            if (i, j - 1) not in ok or (i + 1, j) not in ok:
+                want.add((d, sum(n[:i]), sum(n[i:j])))
+    # a window may happen to be a run, or to be as long as one
+    assert want == {x for x in got if x[2] != spans.WINDOW or x in want}
