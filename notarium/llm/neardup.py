@@ -11,7 +11,7 @@ r"""Near-duplicate documents by MinHash and an LSH forest (operator 3).
 3. The sketches of a pair tell about how near it is: CLOSE is 4 standard deviations below the threshold, LOOSE far below.
    Close pairs are confirmed on the full sets: first FIRST_LINKS of each class, then every one that still joins two
    components.
-4. The rest of large groups: classes that loose pairs tie together are a family.  In a family that has several
+4. The rest of the groups: classes that loose pairs tie together are a family.  In a family that has several
    components, each class outside the largest is compared with all classes in other components, block by block inside
    a task: sketches first, then full sets.  Only the links that are found leave the task.  So no family has a cap on its
    candidates, and no pairs are written out; classes that hang together already need no more comparisons.
@@ -325,12 +325,12 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _family_links(near: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (a, b) between the components of each family of more than NEAR + 1 classes."""
+    """Links (a, b) between the components of each family, however small."""
     families = connected_components(near.select("a", "b")).select(F.col("node").alias("key"), F.col("root").alias("family"))
     placed = families.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     parts = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
     whole = parts.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-    whole = whole.where((F.col("parts") > 1) & (F.col("size") > NEAR + 1)).select(
+    whole = whole.where("parts > 1").select(
         "family", F.col("largest.root").alias("largest"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("largest.n")) / BLOCK).alias("query_blocks"),
     )
     rows = placed.join(whole, "family").join(classes.select("key", F.col("n_shingles").alias("n"), "sketch"), "key").join(sets, "key")

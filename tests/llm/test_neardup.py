@@ -65,3 +65,20 @@ def test_components_of_a_long_chain(spark, monkeypatch, local, shuffled):
     edges = [(order[i], order[i + 1]) for i in range(59)] + [(100, 101), (7, 7), (200, 200)]
     got = {r.node: r.root for r in components_module.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[i] for i in range(60)}) == 1 and got[100] == got[101] != got[0] and got[200] == 200 and len(got) == 63
+
+
+def test_small_families_are_finished(spark):
+    """Two near copies that only a loosely similar third ties together, as where a dense region hides them from each other."""
+    from pyspark.sql import functions as F
+
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-3], "x", "y", "z"])), (3, " ".join([*base[:70], *(f"v{i}" for i in range(30))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = docs.mapInArrow(neardup._sign, neardup.SIGNED)
+    classes = signed.select("key", "n_shingles", "sketch", F.col("doc_id").alias("least_id"))
+    key = {r.least_id: r.key for r in classes.collect()}
+    near = spark.createDataFrame([(key[1], key[3]), (key[3], key[2])], "a binary, b binary")
+    sets = neardup._full_sets(docs, classes, classes.select("key"))
+    roots = spark.createDataFrame([], "node binary, root binary")
+    found = neardup._family_links(near, classes, sets, roots).collect()
+    assert {frozenset((bytes(r.a), bytes(r.b))) for r in found} == {frozenset((bytes(key[1]), bytes(key[2])))}
