@@ -14,9 +14,10 @@ A file is written under a name of the attempt and then renamed, so a lost execut
 files; contents depend on the input alone.
 
 Encoding: a text is cut before each run of white space, and between an ASCII letter and a mark; no token crosses such a
-cut, since the tokenizer's own pattern starts a piece there.  So each distinct piece of a batch is encoded once by the tokenizers library, and texts are put
-together from the pieces' ids with numpy.  Texts with white space outside ASCII, and tokenizers that aren't byte-level
-with that pattern, are encoded whole.
+cut, since the tokenizer's own pattern starts a piece there.  So each distinct piece of a batch is encoded once by the
+tokenizers library, and texts are put together from the pieces' ids with numpy.  A text with white space outside ASCII,
+or with the content of any added token, is encoded whole, whatever stands beside it; so are all texts where the tokenizer
+isn't byte-level with that pattern, puts a space before texts, normalises, truncates or pads.
 
 Defined cases: a null text is an empty one and has only the end id; rows with a null doc_id come first; repeated rows
 are written each; an empty table gives no shards; other columns are not looked at.
@@ -43,10 +44,9 @@ END_ID = 0
 #: Most pieces that a worker remembers; then it begins anew.
 REMEMBERED = 800_000
 
-#: White space outside ASCII, in UTF-8: where it occurs, a text is encoded whole.
-_OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+#: White space outside ASCII, in UTF-8: a text that has it is encoded whole.
+_OTHER_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]"
 
-_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3, *range(0x1C, 0x20)])
 _LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
 _MARK = np.isin(np.arange(256), list(b".,;:!?|#$%&*"))
 
@@ -60,12 +60,17 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.by_piece = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
-        self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-        plain = [t for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.tokenizer = t = Tokenizer.from_file(path)
+        level, added = t.pre_tokenizer, t.get_added_tokens_decoder()
+        bare = t.normalizer is None and t.truncation is None and t.padding is None
+        self.by_piece = isinstance(level, pre_tokenizers.ByteLevel) and not level.add_prefix_space and level.use_regex and bare
+        self.type = np.uint16 if t.get_vocab_size() <= 65536 else np.uint32
+        plain = [x for _, x in sorted(added.items()) if x.special and not (x.lstrip or x.rstrip or x.single_word)]
         self.between = plain[0].content if self.by_piece and plain else ""
-        self.between_id = self.tokenizer.token_to_id(self.between) if self.between else -1
+        self.between_id = t.token_to_id(self.between) if self.between else -1
+        contents = sorted((re.escape(x.content.encode()) for x in added.values() if x.content), key=len, reverse=True)
+        self.added = re.compile(b"|".join(contents)) if contents else None
+        self.odd = re.compile(b"|".join([*contents, _OTHER_SPACE]))
         self.forget()
 
     def forget(self) -> None:
@@ -83,7 +88,7 @@ class Encoder:
         anything else happens.
         """
         joined = [self.between.join(pieces[k : k + 1000]) for k in range(0, len(pieces), 1000)] if self.between else []
-        if not joined or sum(x.count(self.between) for x in joined) != len(pieces) - len(joined):
+        if not joined or sum(len(self.added.findall(x.encode())) for x in joined) != len(pieces) - len(joined):
             lists = self.whole(pieces)
             return np.fromiter((i for x in lists for i in x), self.type), np.fromiter(map(len, lists), np.int64, len(lists))
         parts = [np.array([*x, self.between_id], self.type) for x in self.whole(joined)]
@@ -104,38 +109,62 @@ class Encoder:
         self.used += len(flat)
         self.known.update(zip(hashes, range(have, have + n), strict=True))
 
+    def odd_texts(self, data: bytes, offs: np.ndarray) -> np.ndarray:
+        """Which of a block's texts the cuts do not hold for.  A find that runs over a border marks the texts on both sides."""
+        odd = np.zeros(len(offs) - 1, bool)
+        for m in self.odd.finditer(data):
+            odd[np.searchsorted(offs, m.start(), "right") - 1 : np.searchsorted(offs, m.end() - 1, "right")] = True
+        return odd
+
+    def _by_pieces(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from . import textvec as tv
+
+        space = tv.SPACE[raw]
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut[1:] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]
+        cut[offs[:-1][offs[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(raw))[: len(starts)]
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        hashes, where, back = np.unique(tv.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        values, get = hashes.tolist(), self.known.get
+        new = [k for k, h in enumerate(values) if h not in self.known]
+        if new:
+            data = raw.tobytes()
+            at = where[new]
+            self._learn([values[k] for k in new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        index = np.fromiter(map(get, values), np.int64, len(values))[back]
+        counts = self.count[index]
+        stops = np.cumsum(counts)
+        total = int(stops[-1]) if len(stops) else 0
+        gather = np.repeat(self.begin[index] - (stops - counts), counts) + np.arange(total)
+        before = np.concatenate([[0], stops])
+        return self.ids[gather], np.diff(before[np.searchsorted(starts, offs)])
+
     def batch(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Block by block: ids of its texts one after the other, without end ids, and the number of ids of each."""
         from . import textvec as tv
 
         for _, raw, offs in tv.blocks(column, 4 << 20):
-            if not self.by_piece or (_LEAD[raw].any() and _OTHER_SPACE.search(raw.tobytes())):
-                lists = self.whole([raw[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
-                yield np.fromiter((i for x in lists for i in x), self.type), np.fromiter(map(len, lists), np.int64, len(lists))
+            data = raw.tobytes()
+            odd = self.odd_texts(data, offs) if self.by_piece else np.ones(len(offs) - 1, bool)
+            lists = self.whole([data[offs[k] : offs[k + 1]].decode() for k in np.flatnonzero(odd)]) if odd.any() else []
+            counts = np.zeros(len(odd), np.int64)
+            counts[odd] = list(map(len, lists))
+            if odd.all():
+                yield np.fromiter((i for x in lists for i in x), self.type, counts.sum()), counts
                 continue
-            space = tv.SPACE[raw]
-            cut = space.copy()
-            cut[1:] &= ~space[:-1]
-            cut[1:] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]
-            cut[offs[:-1][offs[:-1] < len(raw)]] = True
-            starts = np.flatnonzero(cut)
-            ends = np.append(starts[1:], len(raw))[: len(starts)]
-            if len(self.known) > REMEMBERED:
-                self.forget()
-            hashes, where, back = np.unique(tv.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-            values, get = hashes.tolist(), self.known.get
-            new = [k for k, h in enumerate(values) if h not in self.known]
-            if new:
-                data = raw.tobytes()
-                at = where[new]
-                self._learn([values[k] for k in new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            index = np.fromiter(map(get, values), np.int64, len(values))[back]
-            counts = self.count[index]
-            stops = np.cumsum(counts)
-            total = int(stops[-1]) if len(stops) else 0
-            gather = np.repeat(self.begin[index] - (stops - counts), counts) + np.arange(total)
-            before = np.concatenate([[0], stops])
-            yield self.ids[gather], np.diff(before[np.searchsorted(starts, offs)])
+            length = np.diff(offs)
+            plain = raw[np.repeat(~odd, length)] if odd.any() else raw
+            ids, counts[~odd] = self._by_pieces(plain, np.concatenate([[0], np.cumsum(length[~odd])]))
+            if odd.any():
+                both = np.zeros(counts.sum(), self.type)
+                mine = np.repeat(odd, counts)
+                both[mine], both[~mine] = np.fromiter((i for x in lists for i in x), self.type, counts[odd].sum()), ids
+                ids = both
+            yield ids, counts
 
 
 def encoder(path: str) -> Encoder:

@@ -51,3 +51,37 @@ def test_sequences_are_equal_in_length_and_masked(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOC_SCHEMA)
     assert tokens.encode_and_read(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_ids_do_not_depend_on_neighbours():
+    """Random strings with the special token, odd white space and cut places: alone, in blocks, in other blocks."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "a", "B", "t|", "|>", "<|", " ", "  ", "\n", "'ll", "7", ".", "é", " ", " ", "\x1c", "語", "word", "#"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(10_000)] + ["<|endoftext|> literal<|endoftext|>", "a<|endoftext|>b"]
+    code = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert code.by_piece
+    want = [e.ids for e in code.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encoded(some):
+        out = []
+        for ids, counts in code.batch(pa.array(some, pa.string())):
+            out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        return out
+
+    assert encoded(texts) == want
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    assert encoded([texts[i] for i in order]) == [want[i] for i in order]
+    for i in [*range(0, 10_000, 25), 10_000, 10_001]:
+        assert encoded([texts[i]]) == [want[i]]
+
+
+def test_partitions_do_not_matter(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, ("<|endoftext|> literal<|endoftext|>", "plain text", "no break space <|endoftext", None, "|> end")[i % 5]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 7, 50):
+        got = sorted(map(tuple, tokens.encode_and_read(docs.repartition(n), path, sequence=64).collect()), key=lambda r: r[1])
+        assert got == expected(rows, path)
