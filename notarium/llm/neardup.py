@@ -8,16 +8,17 @@ r"""Near-duplicate documents by MinHash and an LSH forest (operator 3).
    values.  Depth adapts by itself: in a sparse region, where fewer than NEAR classes follow with that prefix, all of
    them are neighbours; in a dense one, the next in order are those with the longest common prefix.  What lies on both
    sides of a partition's border is paired in a small pass of its own.
-3. The sketches of a pair tell about how near it is: CLOSE is 4 standard deviations below the threshold, LOOSE far below.
-   Close pairs are confirmed on the full sets: first FIRST_LINKS of each class, then every one that still joins two
-   components.
-4. The rest of the groups: classes that loose pairs tie together are a family.  In a family that has several
-   components, each class outside the largest is compared with all classes in other components, block by block inside
-   a task: sketches first, then full sets.  Only the links that are found leave the task.  So no family has a cap on its
-   candidates, and no pairs are written out; classes that hang together already need no more comparisons.
+3. The sketches of a pair tell about how near it is; CLOSE is 4 standard deviations below the threshold.  Close pairs are
+   confirmed on the full sets: first FIRST_LINKS of each class, then every one that still joins two components.
+4. Crowded regions, those of more than NEAR rows, have pairs that were not looked at.  Where such a region holds several
+   components, its classes go through an exact prefix join, without any cap: shingles that occur in one component alone
+   cannot tie two, so only the others count, rarest first; a class of which these are under 75 % is done; of each other
+   class so many of them are posted that a linked pair must share one, and two postings meet only if sizes and the
+   shingles behind them leave room for 75 %.  Of each posted shingle the largest component's classes meet the others,
+   not each other.  Pages of one template thus meet only where their own parts agree, and the work grows with the pages.
 
 A pair of similarity 0.75 shares MIN_DEPTH values in a given order with probability 0.42, and in none of the 24 with
-2e-6.
+2e-6; a pair's sketch misses CLOSE with 2e-5 at that similarity, and much less above it.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; fewer than five words are one
 shingle; a null doc_id is never the least of a component that has another; repeated rows each get a row; an empty table
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import discard, materialise
@@ -39,9 +41,10 @@ SHINGLE = 5
 PERCENT = 75
 TREES, DEPTH, MIN_DEPTH = 24, 6, 3
 NEAR, DENSE_NEAR = 8, 1
-LOOSE, CLOSE = 0.45, 0.6
+CLOSE = 0.6
 FIRST_LINKS = 3
-BLOCK = 400
+#: Keys with more rows than this, or than the HOT_SHARE-th part of all, are mapped apart: HOT_SHARE of them at most.
+HOT, HOT_SHARE = 1000, 10_000
 
 SIGNED = "doc_id long, n_shingles long, key binary, sig binary, sketch binary"
 
@@ -127,7 +130,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one sorted run: pairs (kind 0) and the rows at both borders (2)."""
+    """Of one sorted run: pairs (kind 0), the rows of crowded regions (1) and the rows at both borders (2)."""
 
     def rows(kind: int, tree, path, a, b) -> pa.RecordBatch:
         n = len(a)
@@ -152,6 +155,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(n)
         ahead = np.minimum(at + NEAR, n - 1)
         dense = (region[ahead] == region) & (at + NEAR < n)
+        # a row is in a crowded region if any NEAR + 1 rows in a row that it is one of are of one region
+        filled = np.concatenate([[0], np.cumsum(dense)])
+        mine = np.arange(context, upto)
+        crowded = pa.array(mine[filled[mine + 1] > filled[np.maximum(mine - NEAR, 0)]])
+        yield rows(1, tree.take(crowded), path.take(crowded), key.take(crowded), None)
         first, second = [], []
         for j in range(1, NEAR + 1):
             i = np.arange(context, min(upto, n - j))
@@ -207,55 +215,33 @@ def _may_link(near: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 
 def _sketch_agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sketches agree at least loosely, with the estimate and whether they may be a link."""
+    """The pairs that may be links by sizes and sketches, with the estimate."""
     for batch in batches:
         if not len(batch):
             continue
         near = _agreement(*(_sketches(batch.column(c).to_pylist()) for c in ("sketch_a", "sketch_b")))
-        close = _may_link(near, *(batch.column(c).to_numpy() for c in ("n_a", "n_b")))
-        keep = pa.array(near >= LOOSE)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(near).filter(keep), pa.array(close).filter(keep)], names=["a", "b", "near", "close"],
-        )
+        keep = pa.array(_may_link(near, *(batch.column(c).to_numpy() for c in ("n_a", "n_b"))))
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(near).filter(keep)], names=["a", "b", "near"])
 
 
-def _links_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the classes in `one` with those in `other`, both arrays of (key, root, n, sketch, items).
-
-    Roots that a link has tied count as one from then on, so that what leaves is a forest.
-    """
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, home, item) for each shingle of each set (key, home, items)."""
     for batch in batches:
-        for k in range(len(batch)):
-            one, other = batch.column("one")[k].as_py(), batch.column("other")[k].as_py()
-            parent: dict[bytes, bytes] = {}
-
-            def root(x: bytes, parent: dict[bytes, bytes] = parent) -> bytes:
-                while x in parent:
-                    x = parent[x]
-                return x
-
-            sketches, sizes = _sketches([y["sketch"] for y in other]), np.array([y["n"] for y in other])
-            sets = [np.frombuffer(y["items"], np.uint64) for y in other]
-            found: tuple[list[bytes], list[bytes]] = ([], [])
-            for x in one:
-                near = _agreement(np.frombuffer(x["sketch"], np.uint8), sketches)
-                at = np.flatnonzero(_may_link(near, np.int64(x["n"]), sizes))
-                mine = np.frombuffer(x["items"], np.uint64)
-                for i in at[np.argsort(-near[at], kind="stable")].tolist():
-                    if root(x["root"]) == root(other[i]["root"]):
-                        continue
-                    both = len(np.intersect1d(mine, sets[i], assume_unique=True))
-                    if 100 * both >= PERCENT * (len(mine) + len(sets[i]) - both):
-                        parent[root(x["root"])] = root(other[i]["root"])
-                        found[0].append(x["key"])
-                        found[1].append(other[i]["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in found], names=["a", "b"])
+        items = batch.column("items")
+        size = pa.compute.binary_length(items).to_numpy().astype(np.int64) // 8
+        stops, first = np.cumsum(size), 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(stops, stops[first] - size[first] + 200_000, "right")))
+            flat = np.frombuffer(b"".join(items.slice(first, last - first).to_pylist()), np.int64)
+            row = pa.array(np.repeat(np.arange(first, last, dtype=np.int32), size[first:last]))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(row), batch.column("home").take(row), pa.array(flat)], names=["key", "home", "item"])
+            first = last
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, near, close) of the pairs whose sketches agree at least loosely."""
+    """(a, b, near) of the pairs that may be links."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_agreement, "a binary, b binary, near double, close boolean")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_agreement, "a binary, b binary, near double")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,83 +262,114 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, near) whose ends are in different components."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.where("coalesce(r_a, a) <> coalesce(r_b, b)").select("a", "b", "near")
+
+
+def _joined(more: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Components (node, root) after more links (a, b): each node is tied to its root so far."""
+    known = more.select("a", "b") if roots is None else more.select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return connected_components(known)
+
+
+def _linked(close: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Components (node, root) after every pair of close (a, b, near) that is a link."""
+    ends = close.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "near")
+    some = W.partitionBy("node").orderBy((F.col("near") < 0.8).cast("int"), F.xxhash64("a", "b"), "a", "b")
+    first = ends.withColumn("r", F.row_number().over(some)).where(F.col("r") <= FIRST_LINKS).select("a", "b").distinct()
+    known = _joined(_confirmed(first, sets), roots)
+    rest = materialise(_confirmed(_crossing(close, known), sets), "links")
+    after = known if rest.isEmpty() else _joined(rest, known)
+    for old in (rest, roots, known):
+        if old is not None and old is not after:
+            discard(old)
+    return after
+
+
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (key, n_shingles, least_id, sketch) and (node, root) of those that are linked with another class."""
-    classes = materialise(
-        signed.where("key IS NOT NULL").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig")),
-        "classes",
-    )
+    """Classes (key, copies, n_shingles, least_id, sketch) and (node, root) of those that were linked or looked at."""
+    of_key = [F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig")]
+    classes = materialise(signed.where("key IS NOT NULL").groupBy("key").agg(*of_key), "classes")
     trees = classes.select("key", "sig").mapInArrow(_trees, "tree int, path binary, key binary")
     runs = trees.repartitionByRange("tree", "path", "key").sortWithinPartitions("tree", "path", "key")
     found = materialise(runs.mapInArrow(_neighbours, "kind int, tree int, path binary, a binary, b binary"), "neighbours")
     prefix = F.substring("path", 1, 4 * MIN_DEPTH)
-    borders = found.where("kind = 2").select("tree", prefix.alias("prefix"), "path", "a").distinct()
-    along = W.partitionBy("tree", "prefix").orderBy("path", "a")
+    region = F.xxhash64("tree", prefix).alias("region")
+    borders = found.where("kind = 2").select("tree", "path", "a", region).distinct()
+    along = W.partitionBy("region").orderBy("tree", "path", "a")
     behind = borders.select("a", F.array(*[F.lead("a", j).over(along) for j in range(1, NEAR + 1)]).alias("next"))
     across = behind.select("a", F.explode("next").alias("b")).where("b IS NOT NULL")
     pairs = _ordered(found.where("kind = 0").select("a", "b").union(across))
-    near = materialise(_estimated(pairs, classes), "near")
+    close = materialise(_estimated(pairs, classes), "close")
+    filled = borders.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEAR)
+    crowded = found.where("kind = 1").select(region, F.col("a").alias("key")).union(borders.join(filled, "region", "left_semi").select("region", F.col("a").alias("key"))).distinct()
+    crowded = materialise(crowded, "crowded")
 
-    close = near.where("close")
-    ends = close.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "near")
-    some = W.partitionBy("node").orderBy((F.col("near") < 0.8).cast("int"), F.xxhash64("a", "b"), "a", "b")
-    first = ends.withColumn("r", F.row_number().over(some)).where(F.col("r") <= FIRST_LINKS).select("a", "b").distinct()
-    nodes = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    nodes = close.select(F.explode(F.array("a", "b")).alias("key")).union(crowded.select("key")).distinct()
     sets = materialise(_full_sets(docs, classes, nodes), "sets")
-    linked = _confirmed(first, sets)
-    roots = connected_components(linked)
-
-    def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components, with the components' roots."""
-        side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
-        joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return joined.withColumns({"r_a": F.coalesce("r_a", "a"), "r_b": F.coalesce("r_b", "b")}).where("r_a <> r_b")
-
-    def joined_by(more: DataFrame, roots: DataFrame) -> DataFrame:
-        """Components after more links: each node is tied to its root."""
-        return connected_components(more.select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    second = materialise(_confirmed(crossing(close, roots), sets), "links")
-    if not second.isEmpty():
-        roots = joined_by(second, roots)
-
-    rest = materialise(_family_links(near, classes, sets, roots), "links")
-    if not rest.isEmpty():
-        roots = joined_by(rest, roots)
-    for old in (found, near, sets):
+    roots = _linked(close, sets, None)
+    more = _crowded_pairs(crowded, classes, sets, roots)
+    if not more.isEmpty():
+        roots = _linked(more, sets, roots)
+    for old in (found, close, crowded, more, sets):
         discard(old)
     return classes, roots
 
 
-def _family_links(near: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (a, b) between the components of each family, however small."""
-    families = connected_components(near.select("a", "b")).select(F.col("node").alias("key"), F.col("root").alias("family"))
-    placed = families.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    parts = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-    whole = parts.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-    whole = whole.where("parts > 1").select(
-        "family", F.col("largest.root").alias("largest"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("largest.n")) / BLOCK).alias("query_blocks"),
-    )
-    rows = placed.join(whole, "family").join(classes.select("key", F.col("n_shingles").alias("n"), "sketch"), "key").join(sets, "key")
-    spread = lambda blocks: F.pmod(F.xxhash64("key"), F.col(blocks))
-    item = F.struct("key", "root", "n", "sketch", "items")
-    one = rows.where("root <> largest").groupBy("family", spread("query_blocks").alias("q")).agg(F.collect_list(item).alias("one"))
-    other = rows.groupBy("family", spread("blocks").alias("block")).agg(F.collect_list(item).alias("other"), F.first("query_blocks").alias("query_blocks"))
-    each = other.select("family", "block", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_blocks") - 1)).alias("q"))
-    return each.join(one, ["family", "q"]).select("one", "other").mapInArrow(_links_between, "a binary, b binary")
+def _crowded_pairs(crowded: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Close pairs (a, b, near) of classes of different components, among them all links within the regions of crowded (region, key)."""
+    placed = crowded.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    several = placed.join(mixed, "region", "left_semi").select("key", "root").distinct()
+    several = materialise(several.join(classes.select("key", F.col("n_shingles").alias("n")), "key"), "several")
+    rows = several.select("key", F.xxhash64("root").alias("home")).join(sets, "key").select("key", "home", "items").mapInArrow(_set_rows, "key binary, home long, item long")
+    shared = rows.groupBy("item").agg(F.count(F.lit(1)).alias("uses"), F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high")
+    shared = materialise(shared.select("item", "uses"), "shared")
+    own = rows.select("key", "item").join(shared, "item").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("uses", "item"))).alias("items"))
+    need = F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    posted = own.join(several, "key").where(F.size("items") >= need)
+    posted = posted.select("key", "root", "n", F.size("items").alias("size"), F.posexplode(F.slice("items", F.lit(1), F.size("items") - need + 1)).alias("i", "x"))
+    postings = materialise(posted.select(F.col("x.item").alias("item"), "key", "root", "n", (F.col("size") - F.col("i")).alias("left")), "postings")
+    homes = postings.groupBy("item", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("item")
+    meeting = homes.agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("homes")).where("homes > 1").select("item", "largest")
+    side = lambda x: postings.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "n", "left")])
+    one = side("a").join(meeting, "item").where("root_a <> largest").drop("largest")
+    sizes = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b) AND {100 + PERCENT} * least(left_a, left_b) >= {PERCENT} * (n_a + n_b)"
+    met = one.join(side("b"), "item").where("root_a <> root_b").where(sizes)
+    out = materialise(_estimated(_ordered(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))), classes), "close")
+    for old in (several, shared, postings):
+        discard(old)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+
+    Rows of classes with very many copies get their component from a table of HOT_SHARE rows at most, which is broadcast;
+    rows without shingles need none; only the others meet their class by a shuffle.
+    """
     signed = materialise(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
     classes, roots = links(docs, signed)
     own = roots.join(classes.select(F.col("key").alias("node"), "least_id"), "node")
     of_root = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = roots.join(of_root, "root").select(F.col("node").alias("key"), "component_id")
-    by_key = classes.select("key", "least_id").join(linked, "key", "left").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    by_key = classes.select("key", "copies", "least_id").join(linked, "key", "left").select("key", "copies", F.coalesce("component_id", "least_id").alias("component_id"))
+    by_key = materialise(by_key, "by_key")
+    for old in (classes, roots):
+        discard(old)
+    least = max(HOT, -(-signed.count() // HOT_SHARE))
+    hot = F.broadcast(by_key.where(F.col("copies") > least).drop("copies"))
+    rows = signed.select("doc_id", "n_shingles", "key")
+    full, columns = rows.where("key IS NOT NULL"), ("doc_id", "n_shingles", "component_id")
+    each = (
+        rows.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        .union(full.join(hot, "key").select(*columns))
+        .union(full.join(hot, "key", "left_anti").join(by_key.where(F.col("copies") <= least), "key").select(*columns))
+    )
+    return each.select(*columns, F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from notarium.llm import components as components_module
 from notarium.llm import neardup
 
-from .brute import DOC_SCHEMA, ODD, components, counts
+from .brute import DOC_SCHEMA, ODD, components, counts, shingle_set
 
 
 def texts(rng):
@@ -67,18 +67,56 @@ def test_components_of_a_long_chain(spark, monkeypatch, local, shuffled):
     assert len({got[i] for i in range(60)}) == 1 and got[100] == got[101] != got[0] and got[200] == 200 and len(got) == 63
 
 
-def test_small_families_are_finished(spark):
-    """Two near copies that only a loosely similar third ties together, as where a dense region hides them from each other."""
+def template_pages(rng, n, own):
+    """Pages that share a template; some are close to another page's own part as well, some on the border of 75 %."""
+    template, rows = [f"t{i}" for i in range(60)], []
+    for i in range(n):
+        part = [f"u{i}x{k}" for k in range(own + rng.randint(-3, 3))]
+        if rows and rng.random() < 0.3:
+            part = list(rows[rng.randrange(len(rows))][1])
+            for k in rng.sample(range(len(part)), rng.randint(0, len(part) // 2)):
+                part[k] = f"v{i}x{k}"
+        rows.append((i, part))
+    return [(i, " ".join(template + part)) for i, part in rows]
+
+
+@pytest.mark.parametrize("own", [20, 8])
+def test_pages_of_one_template(spark, own):
+    """Crowded regions with hundreds of components: every link is found, whatever its neighbours in the orders."""
+    rows = template_pages(random.Random(own), 700, own)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert counts(got) == counts(components(rows))
+
+
+def test_the_prefix_join_alone_finds_every_link(spark):
+    """Without any link from the orders, the join over a crowded region gives all of them."""
     from pyspark.sql import functions as F
 
-    base = [f"w{i}" for i in range(100)]
-    rows = [(1, " ".join(base)), (2, " ".join([*base[:-3], "x", "y", "z"])), (3, " ".join([*base[:70], *(f"v{i}" for i in range(30))]))]
+    rows = template_pages(random.Random(4), 250, 16)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     signed = docs.mapInArrow(neardup._sign, neardup.SIGNED)
-    classes = signed.select("key", "n_shingles", "sketch", F.col("doc_id").alias("least_id"))
-    key = {r.least_id: r.key for r in classes.collect()}
-    near = spark.createDataFrame([(key[1], key[3]), (key[3], key[2])], "a binary, b binary")
+    classes = signed.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"))
+    ids = {bytes(r.key): r.least_id for r in classes.collect()}
     sets = neardup._full_sets(docs, classes, classes.select("key"))
-    roots = spark.createDataFrame([], "node binary, root binary")
-    found = neardup._family_links(near, classes, sets, roots).collect()
-    assert {frozenset((bytes(r.a), bytes(r.b))) for r in found} == {frozenset((bytes(key[1]), bytes(key[2])))}
+    crowded = classes.select(F.lit(1).alias("region"), "key")
+    pairs = neardup._crowded_pairs(crowded, classes, sets, spark.createDataFrame([], "node binary, root binary"))
+    found = {frozenset((ids[bytes(r.a)], ids[bytes(r.b)])) for r in neardup._confirmed(pairs, sets).collect()}
+    text, want = dict(rows), set()
+    kept = sorted(ids.values())
+    whole = {i: shingle_set(text[i]) for i in kept}
+    for k, a in enumerate(kept):
+        for b in kept[k + 1 :]:
+            n = len(whole[a] & whole[b])
+            if 100 * n >= 75 * (len(whole[a]) + len(whole[b]) - n):
+                want.add(frozenset((a, b)))
+    assert len(want) > 20 and found == want
+
+
+def test_hot_copies_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 20)
+    long = [f"w{i}" for i in range(60_000)]
+    rows = [(i, "one text that very many rows have") for i in range(5, 80)] + [(k, None) for k in range(100, 130)]
+    rows += [(200 + k, " ".join(long[:1000 * k] + [f"y{k}z{j}" for j in range(900)] + long[1000 * k + 900 :])) for k in range(12)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id < 100} == {5} and {r.component_id for r in got if r.doc_id >= 200} == {200}
+    assert all(r.kept and r.n_shingles == 0 for r in got if 100 <= r.doc_id < 130) and len(got) == len(rows)
