@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of the size, quality and near-duplicate operators (Java and RE2 agree on it).
@@ -21,15 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only a session without that setting (unit tests on one machine) gets a temporary folder of its own.
+    Only a session on one machine without that setting, as in unit tests, gets a temporary folder of its own.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="notarium-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def publish(fs: pafs.FileSystem, attempt: str, final: str) -> None:
+    """Give a complete file its name.  Contents depend on the input alone, so a file that another attempt left may stay."""
+    if fs.get_file_info(final).type == pafs.FileType.NotFound:
+        fs.move(attempt, final)
+    else:
+        fs.delete_file(attempt)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -139,7 +139,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    return warc.derivatives_of_pages(table(spark, sf_dir, "pages"))
 
 
 ORACLES["op3_minhash_near_dedup"] = r"""

@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import fresh_dir
+from .common import fresh_dir, open_path, publish
 
 SEQUENCE = 1024
 BATCH = 256
@@ -173,16 +173,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 class ShardWriter:
     """Packs ids into sequences and writes them batch by batch."""
 
     def __init__(self, base: str, type_: np.dtype, sequence: int = SEQUENCE):
         self.base, self.sequence, self.attempt = base, sequence, f"{base}.tmp-{os.getpid()}-{np.random.SeedSequence().entropy % 10**12}"
-        self.fs, self.tmp = _open(self.attempt)
+        self.fs, self.tmp = open_path(self.attempt)
         self.fs.create_dir(os.path.dirname(self.tmp), recursive=True)
         self.type = pa.from_numpy_dtype(type_)
         self.schema = pa.schema([("input_ids", pa.list_(self.type, sequence)), ("attention_mask", pa.list_(pa.bool_(), sequence))])
@@ -227,9 +223,9 @@ class ShardWriter:
             t = pa.table({"doc_id": ids, "first": first, "n_tokens": counts})
             with pa.ipc.new_file(sink, t.schema) as w:
                 w.write_table(t, max_chunksize=65536)
-        _, final = _open(self.base)
+        _, final = open_path(self.base)
         for part in ("docs", "ids"):
-            self.fs.move(f"{self.tmp}.{part}.arrow", f"{final}.{part}.arrow")
+            publish(self.fs, f"{self.tmp}.{part}.arrow", f"{final}.{part}.arrow")
 
 
 def write_sequences(docs: DataFrame, tokenizer: str, path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -257,7 +253,7 @@ class Shard:
     """A written shard, memory-mapped where the file system is local."""
 
     def __init__(self, base: str):
-        fs, path = _open(base)
+        fs, path = open_path(base)
         local = isinstance(fs, pafs.LocalFileSystem)
         self._files = [pa.memory_map(f"{path}.{x}.arrow") if local else fs.open_input_file(f"{path}.{x}.arrow") for x in ("ids", "docs")]
         self.ids, self.index = map(pa.ipc.open_file, self._files)

@@ -1,21 +1,27 @@
 """WARC derivatives: metadata and plain-text conversion records from response records (operator 8).
 
-For each response two records are built: `metadata`, a JSON block with the response's source headers, title, links and
-digests, and `conversion`, the page's plain text.  Both name the response in WARC-Refers-To and keep its target URI and
-date; record ids are derived from the response's id and the kind, so that a second run gives the same records.  Digests
-are sha1 in base 32, as usual in WARC files.
-
-Records are made in one map over the responses, without a shuffle.  `write_warc` writes them as gzip members, one
-record each, one file per task, renamed when complete; `read_warc` reads such files back.
+Response records are read from WARC files as the standard has them: versions 1.0 and 1.1, plain or in gzip members,
+fields in any order and case, folded lines, with the message in chunks or compressed.  For each response two records are
+built: `metadata`, a JSON block with the response's source headers, title, links and digests, and `conversion`, the
+page's plain text.  Both name the response in WARC-Refers-To and keep its target URI and date; record ids are derived
+from the response's id and the kind, so that a second run gives the same records.  Digests are sha1 in base 32, as usual
+in WARC files.
+
+Records are made in one map over the responses, without a shuffle.  Files are written as gzip members, one record each,
+one file per task, renamed when complete, and read record by record, so that memory is bounded by the longest record.
+Pages are scanned by one pass over their bytes: each search goes on where the last one ended, so unclosed tags, comments
+and elements cost no more than others; an element whose text isn't shown hides the rest of a page that never closes it.
 
 Defined cases: a null or empty payload gives records with an empty title, no links and an empty text; null URI and
-date stay empty headers; repeated responses give repeated records; an empty table gives none; columns beside those
-named are not looked at.
+date stay empty headers; control characters in a header field are percent-encoded; bytes that are not of the page's
+character set become replacement characters; an absent digest is computed, a wrong block digest is an error; repeated
+responses give repeated records; an empty table gives none; columns beside those named are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
@@ -24,23 +30,31 @@ import json
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urljoin
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from .common import fresh_dir, materialise, open_path, publish
 
 VERSION = "WARC/1.1"
+RESPONSE = "page_id long, record_id string, target_uri string, date string, headers string, payload string, block_digest string, payload_digest string"
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, source_headers string, content_length long, block string"
-
-_UNSEEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Records that leave a task in one batch, and bytes of their blocks.
+MANY, LARGE = 500, 8 << 20
+
+#: Elements whose content is not shown, and those that begin a new line.
+HIDDEN = frozenset(b"script style noscript template title".split())
+BLOCKS = frozenset(b"p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre".split())
+_NAME = re.compile(rb"/?([a-z][a-z0-9-]*+)", re.I)
+_ATTRIBUTE = re.compile(rb"""[\s/]*+(?:([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s]*+)))?+|=)""")
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,}+")
 _BLANK = re.compile(r"[ \xa0\t\r\f\v]+")
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
 def digest(block: bytes) -> str:
@@ -51,18 +65,78 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
 
 
-def plain_text(page: str) -> str:
+def field(value: str | None) -> str:
+    """A header field's value: one line, whatever was in it."""
+    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", value or "").strip()
+
+
+# -- pages ----------------------------------------------------------------------------------------------------------
+
+
+def _unescaped(text: bytes) -> str:
+    return html.unescape(_LONG_NUMBER.sub("&#99999999", text.decode(errors="replace")))
+
+
+def _close(low: bytes, name: bytes, at: int) -> int:
+    """Where the end tag of an element begins, the page's length if nowhere."""
+    tag = b"</" + name
+    while (at := low.find(tag, at)) >= 0:
+        at += len(tag)
+        if low[at : at + 1] in (b"", b" ", b"\t", b"\n", b"\r", b"\f", b"/", b">"):
+            return at - len(tag)
+    return len(low)
+
+
+def scan(page: str) -> tuple[str, list[bytes], list[str]]:
+    """Title, pieces of visible text, and targets of the anchors as they are written."""
+    raw = page.encode(errors="replace")
+    low, n, at = raw.lower(), len(raw), 0
+    title: bytes | None = None
+    text: list[bytes] = []
+    targets: list[str] = []
+    while at < n:
+        begin = low.find(b"<", at)
+        if begin < 0:
+            begin = n
+        text.append(raw[at:begin])
+        if begin == n:
+            break
+        if low.startswith(b"<!--", begin):
+            end = low.find(b"-->", begin + 4)
+            at = n if end < 0 else end + 3
+            continue
+        tag = _NAME.match(low, begin + 1)
+        if not tag and low[begin + 1 : begin + 2] not in (b"!", b"?", b"/"):
+            text.append(b"<")
+            at = begin + 1
+            continue
+        end = low.find(b">", begin)
+        at = n if end < 0 else end + 1
+        name = tag[1] if tag else b""
+        if name in BLOCKS:
+            text.append(b"\n")
+        if low[begin + 1 : begin + 2] == b"/" or not tag or end < 0:
+            continue
+        if name == b"a":
+            for key, *values in _ATTRIBUTE.findall(raw[tag.end() : end].rstrip(b"/ \t\n\r\f\v")):
+                if key.lower() == b"href":
+                    targets.append(_unescaped(b"".join(values)))
+                    break
+        elif name in HIDDEN:
+            stop = _close(low, name, at)
+            if name == b"title" and title is None:
+                title = raw[at:stop]
+            at = stop
+    return _unescaped(title or b"").strip(), text, targets
+
+
+def plain_text(page: str, pieces: list[bytes] | None = None) -> str:
     """Visible text, one line for each block."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _UNSEEN.sub("", page))))
+    text = _unescaped(b"".join(scan(page)[1] if pieces is None else pieces))
     lines = (_BLANK.sub(" ", x).strip() for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
-def title(page: str) -> str:
-    m = _TITLE.search(page)
-    return html.unescape(m[1]).strip() if m else ""
-
-
 def _absolute(uri: str, link: str) -> str:
     try:
         return urljoin(uri, link)
@@ -70,137 +144,260 @@ def _absolute(uri: str, link: str) -> str:
         return link
 
 
-def links(page: str, uri: str) -> list[str]:
-    """Targets of the anchors, absolute, first occurrences in order."""
-    return list(dict.fromkeys(_absolute(uri, html.unescape(a or b or c)) for a, b, c in _LINK.findall(page)))
+def links(targets: list[str], uri: str) -> list[str]:
+    """Targets, absolute, first occurrences in order."""
+    return list(dict.fromkeys(_absolute(uri, x) for x in targets))
+
+
+# -- the file format ------------------------------------------------------------------------------------------------
+
+
+def to_bytes(head: list[tuple[str, str]], block: bytes) -> bytes:
+    """One record; the length and the block's digest are added."""
+    every = [*head, ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
+    return (VERSION + "\r\n" + "".join(f"{k}: {field(v)}\r\n" for k, v in every) + "\r\n").encode(errors="replace") + block + b"\r\n\r\n"
+
+
+def parse(data: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records (fields by lower-case name, block) of a stream, one after the other."""
+    while True:
+        line = data.readline()
+        while line in (b"\r\n", b"\n"):
+            line = data.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:40]!r}")
+        head: dict[str, str] = {}
+        last = ""
+        while (line := data.readline()) not in (b"\r\n", b"\n", b""):
+            text = line.decode(errors="replace").rstrip("\r\n")
+            if text[:1] in " \t" and last:
+                head[last] = f"{head[last]} {text.strip()}".strip()
+            elif ":" in text:
+                last, _, value = text.partition(":")
+                last = last.strip().lower()
+                head[last] = value.strip()
+        if not head.get("content-length", "").isdigit():
+            raise ValueError(f"record {head.get('warc-record-id')} has no length")
+        size = int(head["content-length"])
+        block = data.read(size)
+        if len(block) < size:
+            raise ValueError(f"record {head.get('warc-record-id')} is cut short")
+        told = head.get("warc-block-digest", "")
+        if told.lower().startswith("sha1:") and told[5:].upper() != digest(block)[5:]:
+            raise ValueError(f"digest of {head.get('warc-record-id')} differs")
+        yield head, block
+
+
+def records_of(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of a file, plain or of gzip members."""
+    fs, at = open_path(path)
+    with fs.open_input_stream(at, compression=None) as f, io.BufferedReader(f) as raw:
+        if raw.peek(2)[:2] == b"\x1f\x8b":
+            with gzip.open(raw) as data:
+                yield from parse(data)
+        else:
+            yield from parse(raw)
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema, weight: str) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[weight] or "")
+        if len(held) >= MANY or size >= LARGE:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string()}[x.split()[1]]) for x in ddl.split(", ")])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(0, len(batch), MANY):
+            yield from batch.slice(k, MANY).to_pylist()
+
+
+def _write(rows: DataFrame, path: str, record) -> DataFrame:
+    """(file, n) of the files under path, each with record(row), the bytes of a record, of one task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n, sink = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0, None
+        fs, final = open_path(name)
+        tmp = f"{final}.tmp-{os.getpid()}-{TaskContext.get().taskAttemptId()}"
+        for r in _rows(batches):
+            if sink is None:
+                fs.create_dir(os.path.dirname(final), recursive=True)
+                sink = fs.open_output_stream(tmp, compression=None)
+            sink.write(gzip.compress(record(r), 6, mtime=0))
+            n += 1
+        if sink:
+            sink.close()
+            publish(fs, tmp, final)
+            yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
+
+    return rows.mapInArrow(run, "file string, n long")
 
 
-def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records (page_id, record_id, target_uri, date, headers, payload) for stored pages."""
+def _read(files: DataFrame, ddl: str, rows, weight: str) -> DataFrame:
+    """rows(path) of every file: as many tasks as files, since the table is small and what it names is not."""
+    schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, pages_ = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
-            headers = [f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len((p or '').encode())}\r\n\r\n" for p in pages_]
-            yield pa.RecordBatch.from_pydict({
-                "page_id": batch.column("page_id"), "record_id": pa.array([record_id("response", i, u) for i, u in zip(ids, urls, strict=True)], pa.string()), "target_uri": pa.array(urls, pa.string()),
-                "date": pa.array([date] * len(ids), pa.string()), "headers": pa.array(headers, pa.string()), "payload": pa.array(pages_, pa.string()),
-            })
+            for path in batch.column("file").to_pylist():
+                yield from _batches(rows(path), schema, weight)
+
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, ddl)
+
+
+# -- responses ------------------------------------------------------------------------------------------------------
+
+
+def _message(block: bytes) -> tuple[str, bytes]:
+    """Head and payload of an HTTP message; the payload without chunks and compression."""
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        head, gap, body = block.partition(b"\n\n")
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in head.decode(errors="replace").split("\n"))}
+    if fields.get("transfer-encoding") == "chunked":
+        whole, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0:
+            try:
+                size = int(body[at:end].split(b";")[0], 16)
+            except ValueError:
+                size = -1
+            if size < 0:
+                # what is called chunked is not
+                whole = [body]
+                break
+            if not size:
+                break
+            whole.append(body[end + 2 : end + 2 + size])
+            at = end + 2 + size + 2
+        body = b"".join(whole)
+    if fields.get("content-encoding") in ("gzip", "x-gzip", "deflate") and body:
+        for wbits in (47, -15):
+            try:
+                body = zlib.decompressobj(wbits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    return (head + gap).decode(errors="replace"), body
+
+
+def _text(head: str, body: bytes) -> str:
+    named = re.search(r"content-type:[^\n]*charset\s*=\s*[\"']?([\w.:-]+)", head, re.I)
+    try:
+        return body.decode(codecs.lookup(named[1] if named else "utf-8").name, errors="replace")
+    except (LookupError, UnicodeError):
+        return body.decode(errors="replace")
+
+
+def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """(file, n): stored pages (page_id, url, html) as response records under path, with a plain HTTP head and this date."""
+
+    def record(r: dict) -> bytes:
+        payload, uri = (r["html"] or "").encode(errors="replace"), field(r["url"])
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        return to_bytes([
+            ("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", r["page_id"], uri)), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", digest(payload)),
+            ("X-Page-ID", "" if r["page_id"] is None else str(r["page_id"])), ("Content-Type", "application/http; msgtype=response"),
+        ], http + payload)
+
+    return _write(pages.select("page_id", "url", "html"), path, record)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, record_id string, target_uri string, date string, headers string, payload string")
+
+def read_responses(files: DataFrame) -> DataFrame:
+    """The response records (RESPONSE) of WARC files (file); page_id only where our own field names one."""
+
+    def rows(path: str) -> Iterator[dict]:
+        for head, block in records_of(path):
+            if head.get("warc-type", "").lower() != "response":
+                continue
+            http, payload = _message(block)
+            page = head.get("x-page-id", "")
+            yield {
+                "page_id": int(page) if re.fullmatch(r"-?\d{1,18}", page) else None, "record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", "").removeprefix("<").removesuffix(">"),
+                "date": head.get("warc-date", ""), "headers": http, "payload": _text(http, payload), "block_digest": head.get("warc-block-digest") or digest(block),
+                "payload_digest": head.get("warc-payload-digest") or digest(payload),
+            }
+
+    return _read(files, RESPONSE, rows, "payload")
+
+
+# -- derivatives ----------------------------------------------------------------------------------------------------
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """Two records (RECORD) for each response: metadata, which links to the conversion, and conversion."""
+    """Two records (RECORD) for each response (RESPONSE): metadata, which links to the conversion, and conversion."""
 
-    def records(page_id, source, uri, date, headers, payload) -> list[tuple]:
-        page, uri, date, headers = payload or "", uri or "", date or "", headers or ""
-        text = plain_text(page)
-        payload_digest, source_digest = digest(page.encode()), digest((headers + page).encode())
+    def records(r: dict) -> Iterator[dict]:
+        page, uri, date, headers, source = r["payload"] or "", r["target_uri"] or "", r["date"] or "", r["headers"] or "", r["record_id"]
+        title, pieces, targets = scan(page)
+        text = plain_text(page, pieces)
+        payload_digest = r["payload_digest"] or digest(page.encode(errors="replace"))
         conversion = record_id("conversion", source)
         about = {
-            "refers-to": source, "conversion": conversion, "response-block-digest": source_digest, "response-payload-digest": payload_digest,
-            "http-headers": headers, "title": title(page), "links": links(page, uri), "text-characters": len(text),
+            "refers-to": source, "conversion": conversion, "response-block-digest": r["block_digest"], "response-payload-digest": payload_digest,
+            "http-headers": headers, "title": title, "links": links(targets, uri), "text-characters": len(text),
         }
-        out = []
         for kind, id_, content, block in (
             ("metadata", record_id("metadata", source), "application/json", json.dumps(about, ensure_ascii=False)),
             ("conversion", conversion, "text/plain; charset=utf-8", text),
         ):
-            data = block.encode()
-            out.append((page_id, kind, id_, source, uri, date, content, digest(data), payload_digest, headers, len(data), block))
-        return out
+            data = block.encode(errors="replace")
+            yield {
+                "page_id": r["page_id"], "record_type": kind, "record_id": id_, "refers_to": source, "target_uri": uri, "date": date, "content_type": content,
+                "block_digest": digest(data), "payload_digest": payload_digest, "source_headers": headers, "content_length": len(data), "block": data.decode(),
+            }
 
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    types = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in RECORD.split(", ")]
+    schema, columns = _arrow(RECORD), [x.split()[0] for x in RESPONSE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                columns = [part.column(c).to_pylist() for c in ("page_id", "record_id", "target_uri", "date", "headers", "payload")]
-                rows = [r for values in zip(*columns, strict=True) for r in records(*values)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return responses.select("page_id", "record_id", "target_uri", "date", "headers", "payload").mapInArrow(run, RECORD)
-
-
-def to_bytes(r: dict) -> bytes:
-    """One record in the file format."""
-    block = r["block"].encode()
-    head = [
-        ("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]),
-        ("WARC-Date", r["date"]), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Source-Payload-Digest", r["payload_digest"]),
-        ("WARC-Source-Headers", json.dumps(r["source_headers"])), ("X-Page-ID", "" if r["page_id"] is None else str(r["page_id"])),
-        ("Content-Type", r["content_type"]), ("Content-Length", str(len(block))),
-    ]
-    return (VERSION + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
-
-
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a file's bytes, after decompression."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if version != VERSION:
-            raise ValueError(f"not a {VERSION} record: {version[:40]!r}")
-        h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        n = int(h["Content-Length"])
-        block = data[end + 4 : end + 4 + n]
-        if digest(block) != h["WARC-Block-Digest"]:
-            raise ValueError(f"digest of {h['WARC-Record-ID']} differs")
-        yield {
-            "page_id": int(h["X-Page-ID"]) if h["X-Page-ID"] else None, "record_type": h["WARC-Type"], "record_id": h["WARC-Record-ID"], "refers_to": h["WARC-Refers-To"],
-            "target_uri": h["WARC-Target-URI"], "date": h["WARC-Date"], "content_type": h["Content-Type"], "block_digest": h["WARC-Block-Digest"],
-            "payload_digest": h["WARC-Source-Payload-Digest"], "source_headers": json.loads(h["WARC-Source-Headers"]), "content_length": n, "block": block.decode(),
-        }
-        at = end + 4 + n + 4
+        yield from _batches((x for r in _rows(batches) for x in records(r)), schema, "block")
 
-
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return responses.select(*columns).mapInArrow(run, RECORD)
 
 
 def write_warc(records: DataFrame, path: str) -> DataFrame:
-    """(file, n) of the files written under path."""
+    """(file, n) of the files with records (RECORD) written under path."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, n, sink = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0, None
-        fs, final = _open(name)
-        tmp = f"{final}.tmp-{os.getpid()}-{TaskContext.get().taskAttemptId()}"
-        for batch in batches:
-            for r in batch.to_pylist():
-                if sink is None:
-                    fs.create_dir(os.path.dirname(final), recursive=True)
-                    sink = fs.open_output_stream(tmp, compression=None)
-                sink.write(gzip.compress(to_bytes(r), 6, mtime=0))
-                n += 1
-        if sink:
-            sink.close()
-            fs.move(tmp, final)
-            yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
+    def record(r: dict) -> bytes:
+        return to_bytes([
+            ("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]),
+            ("WARC-Source-Payload-Digest", r["payload_digest"]), ("WARC-Source-Headers", json.dumps(r["source_headers"])), ("X-Page-ID", "" if r["page_id"] is None else str(r["page_id"])),
+            ("Content-Type", r["content_type"]),
+        ], r["block"].encode(errors="replace"))
 
-    return records.mapInArrow(run, "file string, n long")
+    return _write(records, path, record)
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """The records (RECORD) of files (file)."""
-    names = [x.split()[0] for x in RECORD.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, pa.int64() if n in ("page_id", "content_length") else pa.string()) for n in names])
-        for batch in batches:
-            for file in batch.column("file").to_pylist():
-                fs, at = _open(file)
-                held: list[dict] = []
-                with fs.open_input_stream(at, compression=None) as f, gzip.open(io.BufferedReader(f)) as data:
-                    for r in parse(data.read()):
-                        held.append(r)
-                        if len(held) == 500:
-                            yield pa.RecordBatch.from_pylist(held, schema)
-                            held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema)
-
-    return files.select("file").repartition(F.col("file")).mapInArrow(run, RECORD)
+    """The metadata and conversion records (RECORD) of files (file) that write_warc made."""
+
+    def rows(path: str) -> Iterator[dict]:
+        for head, block in records_of(path):
+            if head.get("warc-type") in ("metadata", "conversion"):
+                page = head.get("x-page-id", "")
+                yield {
+                    "page_id": int(page) if page else None, "record_type": head["warc-type"], "record_id": head.get("warc-record-id", ""), "refers_to": head.get("warc-refers-to", ""),
+                    "target_uri": head.get("warc-target-uri", ""), "date": head.get("warc-date", ""), "content_type": head.get("content-type", ""), "block_digest": digest(block),
+                    "payload_digest": head.get("warc-source-payload-digest", ""), "source_headers": json.loads(head.get("warc-source-headers") or '""'), "content_length": len(block),
+                    "block": block.decode(errors="replace"),
+                }
+
+    return _read(files, RECORD, rows, "block")
+
+
+def derivatives_of_pages(pages: DataFrame) -> DataFrame:
+    """Pages to response files, these to derivative files, and what the latter hold (RECORD)."""
+    spark = pages.sparkSession
+    responses = materialise(write_pages(pages, fresh_dir(spark, "responses")), "files")
+    derived = materialise(write_warc(derive(read_responses(responses)), fresh_dir(spark, "derivatives")), "files")
+    return read_warc(derived)
