@@ -155,7 +155,7 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, l.component_id,
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least l ON l.a = d.doc_id
 """
 
-_PHRASE = "|".join(rules.BOILERPLATE)
+_PHRASE = "|".join(rules.BOILERPLATE).replace("'", "''")
 ORACLES["op7_quality_rules"] = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -166,7 +166,7 @@ line AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
 judged AS (SELECT doc_id, n,
   10 * (length(x) - length(translate(x, '#*$%&|<>', ''))) > 3 * n OR (n >= 4 AND upper(x) = x AND lower(x) <> x)
   OR (n >= 8 AND length(x) = length(translate(x, '.!?:;', ''))) OR (n >= 3 AND 5 * (length(x) - length(translate(x, '|>•»', ''))) >= n)
-  OR regexp_matches(lower(x), '{_PHRASE}') AS bad FROM line),
+  OR (n <= {rules.PHRASE_LINE} AND regexp_matches(lower(x), '{_PHRASE}')) AS bad FROM line),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad_lines, coalesce(sum(n) FILTER (NOT bad), 0) AS kept_words FROM judged GROUP BY doc_id),
 f AS (
   SELECT d.doc_id, len(w) AS n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,

@@ -1,7 +1,8 @@
 r"""Quality rules, line first (operator 7, DataFrame functions only).
 
 Each line is judged by itself: by its punctuation (symbol noise, shouting, or a longer line without any sentence
-mark), as navigation (cells between separators) and as boilerplate (fixed phrases).  Lines that fail are removed; the
+mark), as navigation (cells between separators) and as boilerplate (a fixed phrase, in English, French, German or
+Spanish, in a line of at most PHRASE_LINE words, so that prose may mention one).  Lines that fail are removed; the
 document is then rejected when the lines that are left hold less than KEEP_SHARE of its words.  Two rules on the whole
 text come before: fewer than MIN_WORDS words, or too many words in repeated windows of five.
 
@@ -24,10 +25,15 @@ REPEAT_PERCENT = 20
 WINDOW = 5
 KEEP_SHARE = 0.5
 
-#: Phrases that mark a line as boilerplate, in lower case.
+#: A longer line doesn't fail by a phrase.
+PHRASE_LINE = 15
+#: Phrases that mark a short line as boilerplate, in lower case.
 BOILERPLATE = (
     "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy",
     "sign in to", "subscribe to", "terms of service", "terms of use",
+    "tous droits réservés", "cliquez ici", "politique de confidentialité", "mentions légales", "conditions d'utilisation",
+    "alle rechte vorbehalten", "hier klicken", "datenschutzerklärung", "impressum und datenschutz", "nutzungsbedingungen",
+    "todos los derechos reservados", "haga clic aquí", "política de privacidad", "aviso legal", "términos de uso",
 )
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -71,7 +77,7 @@ def line_fails(line: Column, n_words: Column) -> Column:
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    return noise | shouting | unfinished | navigation | boilerplate
+    return noise | shouting | unfinished | navigation | ((n_words <= PHRASE_LINE) & boilerplate)
 
 
 def judge(docs: DataFrame) -> DataFrame:

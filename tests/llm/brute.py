@@ -96,6 +96,8 @@ def counts(rows):
 
 PHRASES = (
     "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "sign in to", "subscribe to", "terms of service", "terms of use",
+    "tous droits réservés", "cliquez ici", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "alle rechte vorbehalten", "hier klicken", "datenschutzerklärung",
+    "impressum und datenschutz", "nutzungsbedingungen", "todos los derechos reservados", "haga clic aquí", "política de privacidad", "aviso legal", "términos de uso",
 )
 
 
@@ -107,7 +109,7 @@ def cleaned(text):
         w = len(WORD.findall(line))
         count = lambda chars, line=line: sum(c in chars for c in line)
         bad = 10 * count("#*$%&|<>") > 3 * w or (w >= 4 and line.upper() == line and line.lower() != line) or (w >= 8 and not count(".!?:;"))
-        bad = bad or (w >= 3 and 5 * count("|>•»") >= w) or any(p in line.lower() for p in PHRASES)
+        bad = bad or (w >= 3 and 5 * count("|>•»") >= w) or (w <= 15 and any(p in line.lower() for p in PHRASES))
         if not bad:
             good.append(line)
     left = sum(len(WORD.findall(x)) for x in good)

@@ -41,7 +41,7 @@ def test_verdicts_match_brute_force(spark):
     from .brute import cleaned
 
     rng = random.Random(12)
-    parts = ["Plain words that make a line.", "HOME | ABOUT | NEWS", "a b c d e f g h i j", "ALL CAPS LINE HERE", "x### y$$$ z.", "All Rights Reserved.", "", "short", "one > two > three > four", "Click here to read: more;"]
+    parts = ["Plain words that make a line.", "HOME | ABOUT | NEWS", "a b c d e f g h i j", "ALL CAPS LINE HERE", "x### y$$$ z.", "All Rights Reserved.", "", "short", "one > two > three > four", "Click here to read: more;", "Mentions légales et CONDITIONS D'UTILISATION.", "This long line of plain prose says that you may click here to read on, and it goes on for some more words."]
     rows = [(i, "\n".join(rng.choice(parts) for _ in range(rng.randint(0, 9))), "en", "a", 1) for i in range(300)]
     got = {r.doc_id: (r.kept, r.text if not r.n_bad_lines else r.clean_text) for r in judged(spark, rows).collect()}
     assert got == {r[0]: cleaned(r[1]) for r in rows}
