@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Words of the decontamination operator, after A-Z became a-z.
 TERM_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lowering.
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +79,19 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column, separators: str = WORD_SEPARATORS) -> Column:
     """The words of a text; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
 def shielded(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
     """docs with columns of these names renamed out of the way, and what its columns are called then, in order."""
-    now = [f"_own_{c}" if c.lower() in names else c for c in docs.columns]
+    taken = {c.lower() for c in docs.columns} | set(names)
+    now = []
+    for c in docs.columns:
+        own = c
+        while own.lower() in names or (own != c and own.lower() in taken):
+            own = f"_own_{own}"
+        taken.add(own.lower())
+        now.append(own)
     return docs.toDF(*now), now
 
 

@@ -1,28 +1,37 @@
 r"""Benchmark decontamination by a distributed positional inverted index (operator 10, DataFrame functions only).
 
-Terms of the benchmark are counted over the whole corpus.  Each window of ten item words is looked up by its two rarest
-terms.  The index holds the training postings (term, row, position) of those terms.  A posting at position p of the
-term at offset q of an item gives the alignment p - q; postings are intersected on (row, item, alignment), the rarest
-terms' lists alone, which leaves hardly more than the true occurrences.  Each surviving alignment is then compared
-with its own text, word by word, so that results are exact; hits are the runs of matches as long as a window.
+Terms of the benchmark are counted over the whole corpus.  Each window of ten item words is looked up by its rarest
+terms.  The index holds the training postings (term, row, position) of those terms; it is written down and read by both
+lookups.  A posting at position p of the term at offset q of an item gives the alignment p - q.
+
+* Exact: postings of the ANCHORS rarest terms of each window are intersected on (row, item, alignment), which leaves
+  hardly more than the true occurrences.  Each surviving alignment is then compared with its own text, word by word, so
+  that results are exact; hits are the runs of matches as long as a window.
+* Proximity: a window matches near place s of a document if all but one of its ten words stand at most SLOP words behind
+  where they would stand if it began at s.  Of the NEAR_ANCHORS rarest terms of such a window at least two are there, with
+  alignments within SLOP; these meet in overlapping cells of alignments, and each text is then checked place by place.
+  So windows with a word exchanged, or with up to SLOP words put in, are found.  They are reported beside the exact ones
+  and change neither n_hit nor contaminated.
 
 Neighbouring windows share their rarest terms, so an item brings a few postings lists, not one per window.  Lists are
 joined by term and never gathered: a term that a third of all rows hold is only as wide as its own rows, which the join
 splits.  What is gathered per document is bounded by the document: its own alignments.
 
 Defined cases: a null text has no words; an item of fewer than ten words, but at least one, is one window of all its
-words; an item without words matches nothing; items of one id are one item; repeated rows each get the same result; an
-empty table on either side gives rows without hits, or no rows; other columns are not looked at.
+words, and has no proximity matches; an item without words matches nothing; items of one id are one item; repeated rows
+each get the same result; an empty table on either side gives rows without hits, or no rows; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import TERM_SEPARATORS, ascii_lower, discard, materialise, words
+from .common import TERM_SEPARATORS, TERMS, ascii_lower, discard, materialise, words
 
 WINDOW = 10
-ANCHORS = 2
+ANCHORS, NEAR_ANCHORS = 2, 3
+SLOP = 2
 
 
 def terms(text: Column) -> Column:
@@ -58,15 +67,15 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return vocabulary.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, each: int = ANCHORS) -> DataFrame:
-    """(item, offset, term, need): the `each` rarest words of every window.  need: how many of them must meet."""
+def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, each: int = NEAR_ANCHORS) -> DataFrame:
+    """(item, offset, term, n, place): the `each` rarest words of every window; place is the best that a word has in any."""
     ranked = item_words(items).join(counts.withColumnRenamed("n", "uses"), "term")
     # a word belongs to the windows that begin up to window - 1 words before it, within the item
     last = F.greatest(F.col("n") - window, F.lit(0))
     placed = ranked.withColumn("begin", F.explode(F.sequence(F.greatest(F.col("offset") - window + 1, F.lit(0)), F.least(F.col("offset"), last))))
     rarest = W.partitionBy("item", "begin").orderBy("uses", "term", "offset")
     chosen = placed.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= each)
-    return chosen.select("item", "offset", "term", F.least(F.lit(each), "n").alias("need")).distinct()
+    return chosen.groupBy("item", "offset", "term", "n").agg(F.min("r").alias("place"))
 
 
 def positional_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -76,23 +85,24 @@ def positional_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> Da
 
 
 def alignments(index: DataFrame, lookups: DataFrame) -> DataFrame:
-    """(row, item, shift) at which at least `need` anchors of the item are found at their offsets."""
-    met = index.join(lookups, "term").select("row", "item", "need", (F.col("pos") - F.col("offset")).alias("shift"))
-    return met.groupBy("row", "item", "shift").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need")).where("met >= need").select("row", "item", "shift")
+    """(row, item, shift) at which ANCHORS anchors of the item, or all its words if fewer, are found at their offsets."""
+    met = index.join(lookups.where(F.col("place") <= ANCHORS), "term").select("row", "item", "n", (F.col("pos") - F.col("offset")).alias("shift"))
+    met = met.groupBy("row", "item", "shift").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
+    return met.where(F.col("met") >= F.least(F.lit(ANCHORS), F.col("n"))).select("row", "item", "shift")
 
 
-def proximity_matches(index: DataFrame, lookups: DataFrame, slop: int) -> DataFrame:
-    """(row, item, shift, n): anchors of an item that lie within slop words of one alignment, two or more of them.
+def near_alignments(index: DataFrame, lookups: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """(row, item, cell): two anchors of an item within a window of each other have alignments in the cell.
 
-    Alignments are put into overlapping cells of slop + 1, so that near ones meet by equality.
+    Cells are as wide as two stretches of slop + 1 alignments and overlap by one, so that alignments within slop share one.
+    Offsets are dealt in the same way by stretches of `window`.
     """
-    met = index.join(lookups, "term").select("row", "item", "offset", (F.col("pos") - F.col("offset")).alias("at"))
-    cell = F.floor(F.col("at") / (slop + 1))
-    cells = met.withColumn("cell", F.explode(F.array(cell, cell + 1)))
-    return (
-        cells.groupBy("row", "item", "cell").agg(F.countDistinct("offset").alias("n"), F.min("at").alias("shift"))
-        .where("n >= 2").groupBy("row", "item", "shift").agg(F.max("n").alias("n"))
-    )
+    met = index.join(lookups.where(F.col("n") >= window), "term").select("row", "item", "offset", (F.col("pos") - F.col("offset")).alias("at"))
+    cell, part = F.floor(F.col("at") / (slop + 1)).cast("int"), F.floor(F.col("offset") / window).cast("int")
+    spread = met.select("row", "item", "offset", F.explode(F.array(cell, cell + 1)).alias("cell"), F.array(part, part + 1).alias("parts"))
+    spread = spread.select("row", "item", "offset", "cell", F.explode("parts").alias("part"))
+    several = spread.groupBy("row", "item", "cell", "part").agg((F.min("offset") < F.max("offset")).alias("two")).where("two")
+    return several.select("row", "item", "cell").distinct()
 
 
 def _runs(matches: Column, width: Column) -> Column:
@@ -105,48 +115,87 @@ def _runs(matches: Column, width: Column) -> Column:
     return F.filter(F.aggregate(matches, zero, step), lambda r: r["n"] >= width)
 
 
-def exact_spans(docs: DataFrame, items: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs' (doc_id, n_words) with spans: an array of (item_id, b, n), the runs of document words that match."""
-    gathered = found.join(items.select("item", "item_id", "item_terms"), "item").groupBy("row").agg(F.collect_set(F.struct("item_id", "item_terms", "shift")).alias("found"))
-    rows = docs.select("doc_id", "text", row_key(docs).alias("row")).join(gathered, "row", "left").select("doc_id", terms(F.col("text")).alias("w"), "found")
+def gathered(found: DataFrame, items: DataFrame, place: str) -> DataFrame:
+    """(row, found): what was found in each row, an array of (item_id, item_terms, place)."""
+    return found.join(items.select("item", "item_id", "item_terms"), "item").groupBy("row").agg(F.collect_set(F.struct("item_id", "item_terms", place)).alias("found"))
+
+
+def _exact(w: Column, f: Column, window: int) -> Column:
+    """Runs (item_id, b, n) of the words w that match item f at its shift."""
+    at = F.filter(
+        F.sequence(F.lit(0), F.size(f["item_terms"]) - 1),
+        lambda q: F.get(f["item_terms"], q) == F.when(f["shift"] + q >= 0, F.get(w, f["shift"] + q)),
+    )
+    runs = _runs(at, F.least(F.lit(window), F.size(f["item_terms"])))
+    return F.transform(runs, lambda r: F.struct(f["item_id"].alias("item_id"), (r["b"] + f["shift"]).alias("b"), r["n"].alias("n")))
+
+
+def _is_near(w: Column, f: Column, window: int, slop: int) -> Column:
+    """Whether a window of item f matches the words w near any place that its cell stands for."""
 
-    def spans(f: Column) -> Column:
-        at = F.filter(
-            F.sequence(F.lit(0), F.size(f["item_terms"]) - 1),
-            lambda q: F.get(f["item_terms"], q) == F.when(f["shift"] + q >= 0, F.get(F.col("w"), f["shift"] + q)),
-        )
-        return F.transform(_runs(at, F.least(F.lit(window), F.size(f["item_terms"]))), lambda r: F.struct(f["item_id"].alias("item_id"), (r["b"] + f["shift"]).alias("b"), r["n"].alias("n")))
+    def there(s: Column, q: Column) -> Column:
+        within = [F.coalesce(F.get(f["item_terms"], q) == F.when(s + q + j >= 0, F.get(w, s + q + j)), F.lit(False)) for j in range(slop + 1)]
+        either = within[0]
+        for x in within[1:]:
+            either = either | x
+        return either
 
-    exact = F.when(F.col("found").isNotNull(), F.flatten(F.transform("found", spans)))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), exact.alias("spans"))
+    def missing(s: Column) -> Column:
+        """Item offsets that are not there, with a mark before and behind the item, in order."""
+        no = F.filter(F.sequence(F.lit(0), F.size(f["item_terms"]) - 1), lambda q: ~there(s, q))
+        return F.concat(F.array(F.lit(-1)), no, F.array(F.size(f["item_terms"])))
 
+    def holds(no: Column) -> Column:
+        """Whether a window fits between an offset that isn't there and the one after the next."""
+        return F.exists(F.sequence(F.lit(0), F.size(no) - 1), lambda i: F.coalesce(F.get(no, i + 2), F.element_at(no, -1)) - F.get(no, i) > window)
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated, spans) for each row of docs."""
+    first = (f["cell"] - 1) * (slop + 1)
+    places = F.transform(F.sequence(first, first + slop + 1), missing)
+    return F.exists(places, holds)
+
+
+def _ids(found: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(found, lambda f: f["item_id"].cast("string"))))
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP, proximity: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, contaminated, spans, near_items) for each row of docs.
+
+    spans: (item_id, b, n) of the runs of document words that match exactly; near_items: ids of the items with a window
+    that matches by proximity, exact ones among them (none without proximity).
+    """
     items = materialise(benchmark_items(bench), "items")
     vocabulary = item_words(items).select("term").distinct()
     counts = materialise(term_counts(docs, vocabulary), "counts")
-    lookups = materialise(anchors(items, counts, window), "anchors")
-    index = positional_index(docs, lookups.select("term").distinct())
-    found = materialise(alignments(index, lookups), "alignments")
-    spans = exact_spans(docs, items, found, window)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["b"].alias("b"), (s["b"] + s["n"]).alias("e"))))
+    lookups = materialise(anchors(items, counts, window, NEAR_ANCHORS if proximity else ANCHORS), "anchors")
+    index = materialise(positional_index(docs, lookups.select("term").distinct()), "index")
+    close = near_alignments(index, lookups, window, slop) if proximity else alignments(index, lookups).where("false").withColumnRenamed("shift", "cell")
+    exact, near = (gathered(f, items, place).withColumnRenamed("found", c) for f, place, c in ((alignments(index, lookups), "shift", "exact"), (close, "cell", "near")))
+    found = materialise(exact.join(near, "row", "full_outer"), "found")
+    for old in (items, counts, lookups, index):
+        discard(old)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n_words = F.regexp_count(text, F.lit(TERMS)).cast("long").alias("n_words")
+    rows = docs.select("doc_id", "text", row_key(docs).alias("row")).join(found, "row", "left")
+    # only texts in which something was found are cut into words
+    cut = rows.select("doc_id", n_words, "exact", "near", F.when(F.col("exact").isNotNull() | F.col("near").isNotNull(), terms(F.col("text"))).alias("w"))
+    spans = F.when(F.col("exact").isNotNull(), F.flatten(F.transform("exact", lambda f: _exact(F.col("w"), f, window))))
+    near_items = F.when(F.col("near").isNotNull(), _ids(F.filter("near", lambda f: _is_near(F.col("w"), f, window, slop))))
+    matched = cut.select("doc_id", "n_words", spans.alias("spans"), F.coalesce(near_items, F.array().cast("array<string>")).alias("near_items"))
+    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["b"].alias("b"), (s["b"] + s["n"]).alias("e"))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
     merged = F.aggregate(ordered, zero, lambda acc, s: F.struct(
         F.greatest(acc["end"], s["e"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), s["e"] - F.greatest(acc["end"], s["b"]))).alias("total"),
     ))
-    names = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
-    discard(counts)
-    return spans.select(
-        "doc_id", "n_words",
-        F.coalesce(merged["total"], F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(names, F.array().cast("array<string>")).alias("items"), "spans",
+    return matched.select(
+        "doc_id", "n_words", F.coalesce(merged["total"], F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(_ids(F.col("spans")), F.array().cast("array<string>")).alias("items"), "spans", "near_items",
     ).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "spans",
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "spans", "near_items",
     )
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, in the columns of docs."""
-    verdicts = decontaminate(docs, bench, window).where("contaminated").select("doc_id").distinct()
+    verdicts = decontaminate(docs, bench, window, proximity=False).where("contaminated").select("doc_id").distinct()
     return docs.alias("d").join(verdicts.alias("v"), F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")), "left_anti")

@@ -64,7 +64,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), "contaminated", F.array_join("near_items", ",").alias("near_items"))
 
 
 ORACLES["op10_benchmark_decontamination"] = r"""
@@ -82,10 +82,16 @@ hits AS (SELECT d.doc_id, d.n, d.i, b.item_id FROM dwin d JOIN bwin b ON d.win =
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+dt AS (SELECT doc_id, p, w[p] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw)),
+bt AS (SELECT item_id, q, w[q] AS term FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS q FROM bw WHERE len(w) >= 10)),
+there AS (SELECT DISTINCT doc_id, item_id, q, p - q - j AS s FROM dt JOIN bt ON dt.term = bt.term, (SELECT unnest(range(0, 3)) AS j) js),
+nearby AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, s ORDER BY q RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM there),
+near AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM nearby WHERE n >= 9) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM dw d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+  CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated,
+  coalesce(x.near_items, '') AS near_items
+FROM dw d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id LEFT JOIN near x ON x.doc_id = d.doc_id
 """
 
 
