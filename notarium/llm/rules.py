@@ -41,15 +41,15 @@ _ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def repeated_words(hashes: Column) -> Column:
-    """How many words lie in windows of WINDOW words that the text has more than once, from the windows' hashes in order."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    """The windows (h, i) in order of their hashes, null where none occurs twice."""
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed)
 
 
 def _covered(placed: Column) -> Column:
     """Positions of the windows whose hash a neighbour in sorted order shares, in ascending order."""
     same = lambda x, k: F.coalesce(F.get(placed, k)["h"] == x["h"], F.lit(False))
-    return F.array_sort(F.transform(F.filter(placed, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+    return F.sort_array(F.transform(F.filter(placed, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
 
 def _union_length(starts: Column, width: int) -> Column:
@@ -59,21 +59,23 @@ def _union_length(starts: Column, width: int) -> Column:
 
 
 def without(text: Column, characters: str) -> Column:
-    """The text without any of these characters."""
+    """The text without any of these characters; for characters that are as frequent as spaces, cheaper than a pattern."""
     for c in characters:
         text = F.replace(text, F.lit(c), F.lit(""))
     return text
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
-    """The verdict on one line with n_words words."""
-    length = F.char_length(line)
-    count = lambda chars: length - F.char_length(without(line, chars))
-    noise = 10 * count(SYMBOLS) > 3 * n_words
-    shouting = (n_words >= 4) & (F.upper(line) == line) & (F.lower(line) != line)
-    unfinished = (n_words >= 8) & (count(".!?:;") == 0)
-    navigation = (n_words >= 3) & (5 * count("|>•»") >= n_words)
-    low = F.lower(line)
+def count_of(text: Column, characters: str) -> Column:
+    """How many of the text's characters are among these."""
+    return F.regexp_count(text, F.lit("[" + "".join(f"\\x{{{ord(c):X}}}" for c in characters) + "]"))
+
+
+def line_fails(line: Column, low: Column, n_words: Column) -> Column:
+    """The verdict on one line with n_words words; low is the line in lower case."""
+    noise = 10 * count_of(line, SYMBOLS) > 3 * n_words
+    shouting = (n_words >= 4) & (low != line) & (F.upper(line) == line)
+    unfinished = (n_words >= 8) & ~F.rlike(line, F.lit("[.!?:;]"))
+    navigation = (n_words >= 3) & (5 * count_of(line, "|>•»") >= n_words)
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | F.contains(low, F.lit(phrase))
@@ -81,30 +83,33 @@ def line_fails(line: Column, n_words: Column) -> Column:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """docs with n_words, the base figures, base_failed, kept, clean_text, n_lines, n_bad_lines and kept_words."""
+    """docs with n_words, the base figures, base_failed, kept, clean_text, n_lines, n_bad_lines and kept_words.
+
+    Each text is cut into lines and these into words once; what the words are needed for comes from their hashes.
+    """
     passed = [c for c in docs.columns if c.lower() not in _ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select(*passed, F.transform(words(text), lambda w: F.xxhash64(w)).alias("_h"), F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("_lines"))
+    split = docs.select(*passed, F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("_lines"))
+    cut = split.select(*passed, "_lines", F.transform("_lines", lambda x: F.transform(words(x), lambda w: F.xxhash64(w))).alias("_lw"))
+    flat = cut.select(*passed, F.transform(F.arrays_zip("_lines", "_lw"), lambda x: F.struct(x["_lines"].alias("line"), F.lower(x["_lines"]).alias("low"), F.size(x["_lw"]).alias("n"))).alias("_l"), F.flatten("_lw").alias("_h"))
     windows = F.when(
         F.size("_h") >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + j) for j in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    hashed = split.select(*passed, "_lines", F.size("_h").cast("long").alias("n_words"), windows.alias("_w"))
-    placed = hashed.select(*passed, "_lines", "n_words", repeated_words(F.col("_w")).alias("_p"))
-    starts = placed.select(*passed, "_lines", "n_words", F.when(F.col("_p").isNotNull(), _covered(F.col("_p"))).alias("_s"))
+    hashed = flat.select(*passed, "_l", F.size("_h").cast("long").alias("n_words"), windows.alias("_w"))
+    placed = hashed.select(*passed, "_l", "n_words", repeated_words(F.col("_w")).alias("_p"))
+    starts = placed.select(*passed, "_l", "n_words", F.when(F.col("_p").isNotNull(), _covered(F.col("_p"))).alias("_s"))
     counted = starts.select(
-        *passed, "_lines", "n_words",
+        *passed, "_l", "n_words",
         F.char_length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size("_l") - F.size(F.array_distinct(F.transform("_l", lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("_s").isNotNull(), _union_length(F.col("_s"), WINDOW)), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.transform("_lines", lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))).alias("_l"),
+        F.filter("_l", lambda x: ~line_fails(x["line"], x["low"], x["n"])).alias("_g"),
     )
-    good = F.filter("_l", lambda x: ~line_fails(x["line"], x["n"]))
-    lines = counted.drop("_lines").withColumn("_g", good)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.aggregate("_g", F.lit(0), lambda acc, x: acc + x["n"]).cast("long")
-    judged = lines.withColumns({
+    judged = counted.withColumns({
         "base_failed": base,
         "n_lines": F.size("_l"),
         "n_bad_lines": F.size("_l") - F.size("_g"),
@@ -122,7 +127,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     # a filter on kept would be pushed below and evaluate every rule once more per use; it stays above a column that isn't
     # deterministic
-    own, now = shielded(docs, (*_ADDED, "_h", "_w", "_p", "_s", "_l", "_g", "_lines", "_part"))
+    own, now = shielded(docs, (*_ADDED, "_h", "_w", "_p", "_s", "_l", "_g", "_lw", "_lines", "_part"))
     judged = judge(own).withColumn("_part", F.spark_partition_id()).where("kept AND _part >= 0")
     text = F.when(F.col("n_bad_lines") == 0, F.col("text")).otherwise(F.col("clean_text"))
     new = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
