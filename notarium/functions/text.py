@@ -77,6 +77,10 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def embed_text(key: Column, value: Column, context: Column) -> Column:
-    """What is embedded for a fact: key and value, and a context that isn't empty."""
-    return F.concat(key, F.lit(": "), value, F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\n"), context)).otherwise(F.lit("")))
+def embed_text(domain: Column, category: Column, key: Column, value: Column, context: Column, backfill: bool = False) -> Column:
+    """What is embedded for a fact: where it belongs, key and value, and its context on a line of its own.
+
+    A save leaves an empty context out; a backfill leaves only a null one out.
+    """
+    there = context.isNotNull() if backfill else F.coalesce(context, F.lit("")) != ""
+    return F.concat(domain, F.lit("/"), category, F.lit(" - "), key, F.lit(": "), value, F.when(there, F.concat(F.lit("\n"), context)).otherwise(F.lit("")))

@@ -29,6 +29,35 @@ def overlapping_roots(roots: list[str]) -> list[tuple[str, str]]:
     return [(roots[i], roots[j]) for i in range(len(whole)) for j in range(i + 1, len(whole)) if inside(whole[i], whole[j]) or inside(whole[j], whole[i])]
 
 
+@dataclass(frozen=True)
+class Root:
+    """A directory to sync and which of its files count."""
+
+    path: str
+    include: tuple[str, ...] = ("**",)
+    exclude: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = (".md", ".pdf", ".txt")
+
+
+def resolve_roots(settings: dict) -> list[Root]:
+    """The main root and the additional ones of the settings, absolute, each with its own patterns; they must be disjoint."""
+
+    def root(path: object, options: dict, what: str) -> Root:
+        if not isinstance(path, str) or not path.strip():
+            raise ValueError(f"{what} must be a path that isn't empty")
+        given = {k: tuple(options[k]) for k in ("include", "exclude", "extensions") if options.get(k) is not None}
+        return Root(os.path.abspath(path), **given)
+
+    main = root(settings.get("vaultRoot"), settings.get("indexSync") or {}, "vaultRoot")
+    more = settings.get("additionalRoots")
+    if more is not None and not isinstance(more, list):
+        raise ValueError("additionalRoots must be a list")
+    roots = [main, *(root(r.get("root"), r, "root of additionalRoots") for r in more or [])]
+    if pairs := overlapping_roots([r.path for r in roots]):
+        raise ValueError(f"roots overlap: {pairs[0][0]} and {pairs[0][1]}")
+    return roots
+
+
 @dataclass
 class SyncResult:
     new: int = 0

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..functions.people import Aliases
 from ..functions.text import FORMATS
 
 
@@ -103,6 +104,21 @@ def write_manifest(path: str, files: dict[str, float], last_run: str | None) ->
     os.replace(f"{path}.tmp", path)
 
 
+def read_aliases(path: str | None, root: str | None = None) -> Aliases:
+    """Aliases from a YAML file, relative to root; no file is named: none.  Only lists of aliases and of dropped names count."""
+    if not path:
+        return Aliases({})
+    import yaml
+
+    with open(os.path.join(root or ".", path), encoding="utf-8") as f:
+        data = yaml.safe_load(f)
+    if not isinstance(data, dict):
+        return Aliases({})
+    lists = lambda x: [str(v) for v in x] if isinstance(x, list) else []
+    people = {str(k): {"aliases": lists(v.get("aliases") if isinstance(v, dict) else None)} for k, v in data.items() if k != "_drop"}
+    return Aliases(people, lists(data.get("_drop")))
+
+
 def front_matter_type(content: str) -> str | None:
     """The type that a document's front matter names, if it is a plain string; broken front matter names none."""
     lines = content.split("\n")

@@ -73,9 +73,11 @@ def test_roots():
 def test_config(tmp_path, monkeypatch):
     p = tmp_path / "c.json"
     assert config.load(str(p)) == config.DEFAULTS
-    p.write_text(json.dumps({"embedding": {"model": "m"}, "domains": ["x"], "currencies": [], "unknown": 1, "extraction": None}))
+    p.write_text(json.dumps({"embedder": {"model": "m"}, "categories": ["x"], "tools": {"save_fact": {"currencies": [], "units": ["kg"]}, "no_tool": {}}, "unknown": 1, "metadataExtractor": None, "indexSync": {"include": ["a"]}}))
     got = config.load(str(p))
-    assert got["embedding"]["model"] == "m" and got["embedding"]["dimensions"] == 1536 and got["domains"] == ["x"] and got["currencies"] is None and got["extraction"] is None and "unknown" not in got
+    assert got["embedder"] == {**config.DEFAULTS["embedder"], "model": "m"} and got["categories"] == ["x"] and got["metadataExtractor"] is None and "unknown" not in got
+    assert got["tools"]["save_fact"]["currencies"] is None and got["tools"]["save_fact"]["units"] == ["kg"] and "no_tool" not in got["tools"] and got["indexSync"] == {"include": ["a"]}
+    assert config.DEFAULTS["indexSync"] is None and config.DEFAULTS["tools"]["save_fact"]["units"] is None
     p.write_text("{")
     with pytest.raises(json.JSONDecodeError):
         config.load(str(p))
@@ -86,6 +88,51 @@ def test_config(tmp_path, monkeypatch):
         config.secret("env:NOT_SET")
 
 
+def test_roots(tmp_path):
+    got = sync.resolve_roots({"vaultRoot": "/a", "indexSync": {"include": ["x"], "exclude": None}, "additionalRoots": [{"root": "/b", "extensions": [".md"]}]})
+    assert got == [sync.Root("/a", include=("x",)), sync.Root("/b", extensions=(".md",))] and got[1].include == ("**",)
+    for bad in ({}, {"vaultRoot": " "}, {"vaultRoot": "/a", "additionalRoots": {}}, {"vaultRoot": "/a", "additionalRoots": [{}]}, {"vaultRoot": "/a", "additionalRoots": [{"root": "/a/b"}]}):
+        with pytest.raises(ValueError):
+            sync.resolve_roots(bad)
+
+
+def test_people_file(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "people.yaml").write_text("Adam:\n  aliases: [Adam-H, 7]\nEve:\n_drop: [Bot]\n_note: {aliases: [x]}\n")
+    a = files.read_aliases("people.yaml", str(tmp_path))
+    assert a.canonical == {"adam": "adam", "adam-h": "adam", "7": "adam", "eve": "eve"} and a.drop == {"bot"}
+    (tmp_path / "empty.yaml").write_text("")
+    assert files.read_aliases(str(tmp_path / "empty.yaml")).canonical == {} == files.read_aliases(None).canonical
+    with pytest.raises(FileNotFoundError):
+        files.read_aliases("none.yaml", str(tmp_path))
+
+
+def test_store_versions(spark, tmp_path, monkeypatch):
+    from notarium.sources.tables import Conflict, Store
+
+    one, two = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "i long")
+    held = lambda s: sorted(r.i for r in s.read("t", "i long").collect())
+    assert held(one) == []
+    one.commit(t=rows(1))
+    with two.transaction():
+        assert held(two) == [1]
+        one.commit(t=rows(1, 2))
+        assert held(two) == [1]
+        with pytest.raises(Conflict):
+            two.commit(t=rows(1, 3))
+    assert held(two) == [1, 2] and two.commit(u=rows(9)) == 3 and held(one) == [1, 2]
+
+    def crash(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_claim", crash)
+        with pytest.raises(OSError):
+            one.commit(t=rows(5))
+    assert held(one) == [1, 2] and one.commit(t=rows(6)) == 4 and held(two) == [6]
+
+
 def test_aliases():
     a = Aliases.of({"Adam": {"aliases": ["Adam-H"]}, "_drop": ["bot"], "_other": {"aliases": ["x"]}})
     assert a.canonical == {"adam": "adam", "adam-h": "adam"} and a.drop == {"bot"}
