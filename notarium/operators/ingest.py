@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .chunking import issue_chunks, issue_hash
+
 CAPTURE_DEFAULTS = {"domain": "general", "type": "thought"}
 
 
@@ -119,6 +121,44 @@ def batch_counters(results: DataFrame) -> DataFrame:
     )
 
 
+def issue_path(repo: str, number: Column) -> Column:
+    """The source path of an issue."""
+    return F.concat(F.lit(f"github://{repo}/issues/"), number.cast("string"))
+
+
+def checked_issues(issues: DataFrame, repo: str, sources: DataFrame) -> DataFrame:
+    """issues (number, title, body, comments) with file_path, file_hash, chunks and status: new, changed or skipped.
+
+    All hashes are looked up by one join.  An issue is skipped when its hash is known, and also when it has no chunk.
+    """
+    body, comments = F.coalesce("body", F.lit("")), F.coalesce("comments", F.array())
+    rows = issues.select(
+        "*", issue_path(repo, F.col("number")).alias("file_path"), issue_hash(body, comments).alias("file_hash"),
+        issue_chunks(F.col("number"), F.coalesce("title", F.lit("")), body, comments).alias("chunks"),
+    )
+    status = F.when((F.col("status") == "unchanged") | (F.size("chunks") == 0), "skipped").otherwise(F.col("status"))
+    return changed_sources(rows, sources).withColumn("status", status)
+
+
+def issue_results(checked: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(file_path, status, chunk_count) of checked issues; prepared (file_path, failed) tells how many chunks failed.
+
+    failed when all chunks failed; the chunk count has failures and duplicates in it.
+    """
+    counted = checked.join(prepared, "file_path", "left")
+    made = F.when(F.col("status") == "skipped", "skipped").when(F.col("failed") == F.size("chunks"), "failed").otherwise("ingested")
+    return counted.select("file_path", made.alias("status"), F.when(made == "skipped", 0).otherwise(F.size("chunks")).alias("chunk_count"))
+
+
+def issue_counters(results: DataFrame) -> DataFrame:
+    """One row of totals over issues: chunks of ingested issues count whole."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return results.agg(
+        F.count(F.lit(1)).alias("total_issues"), count("ingested").alias("ingested"), count("skipped").alias("skipped"), count("failed").alias("failed"),
+        F.coalesce(F.sum(F.when(F.col("status") == "ingested", F.col("chunk_count"))), F.lit(0)).cast("long").alias("total_chunks"),
+    )
+
+
 def file_status(chunks: Column, failed: Column) -> Column:
     """failed when every chunk failed (so also without chunks), else ingested."""
     return F.when(failed == chunks, "failed").otherwise("ingested")

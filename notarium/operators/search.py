@@ -14,6 +14,8 @@ FACT_LIMIT = 5
 
 
 def clamp(limit: int | None, default: int, most: int) -> int:
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be at least 1, not {limit}")
     return min(limit if limit is not None else default, most)
 
 

@@ -201,17 +201,19 @@ def cascade_survivors(spark, sf_dir):
     return ingest.surviving_embeddings(ds.capture_embeddings(spark, sf_dir), left, "capture_id").select("capture_id")
 
 
-@query("""WITH old AS (SELECT doc_id AS id, text, source FROM documents WHERE source IN ('src1', 'src2', 'src3')),
-new AS (SELECT doc_id + 1000000 AS id, text || '!' AS text, source FROM documents WHERE source IN ('src1', 'src4')),
-kept AS (SELECT * FROM old WHERE source <> 'src1'),
+@query("""WITH old AS (SELECT doc_id AS id, text, source FROM documents),
+new AS (SELECT doc_id + 1000000 AS id, text || CASE WHEN source IN ('src1', 'src4') THEN '!' ELSE '' END AS text, source FROM documents),
+kept AS (SELECT * FROM old WHERE source = 'src4' OR source IS NULL),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY source, id) AS r FROM new)
 SELECT id, source AS source_file, sha256(text) AS content_hash FROM kept
 UNION ALL SELECT id, source, sha256(text) FROM firsts WHERE r = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM kept)""")
 def replace_on_change(spark, sf_dir):
+    """Every document again, some changed, against a table of all; one source is not known yet, so its rows stay."""
     rows = ds.captures(spark, sf_dir)
-    old = rows.where("source_file IN ('src1', 'src2', 'src3')").select("id", "source_file", "content_hash")
-    new = rows.where("source_file IN ('src1', 'src4')").select((F.col("id") + 1000000).alias("id"), "source_file", F.sha2(F.concat("content", F.lit("!")), 256).alias("content_hash"), F.col("id").alias("chunk_index"))
-    known = old.select(F.col("source_file").alias("file_path")).distinct()
+    old = rows.select("id", "source_file", "content_hash")
+    text = F.concat("content", F.when(F.col("source_file").isin("src1", "src4"), "!").otherwise(""))
+    new = rows.select((F.col("id") + 1000000).alias("id"), "source_file", F.sha2(text, 256).alias("content_hash"), F.col("id").alias("chunk_index"))
+    known = old.select(F.col("source_file").alias("file_path")).where("file_path <> 'src4'").distinct()
     return ingest.replace_changed(old, new, known).select("id", "source_file", "content_hash")
 
 
@@ -225,27 +227,36 @@ def source_hash_status(spark, sf_dir):
 
 
 @query("""SELECT coalesce(n.file_path, o.file_path) AS file_path, coalesce(n.file_hash, o.file_hash) AS file_hash, coalesce(n.capture_count, o.capture_count) AS capture_count FROM
-(SELECT source AS file_path, 'old' AS file_hash, count(*) AS capture_count FROM documents WHERE source < 'src2' GROUP BY source) o
-FULL JOIN (SELECT source AS file_path, CAST(max(doc_id) AS VARCHAR) AS file_hash, max_by(n_chars, doc_id) AS capture_count FROM documents WHERE source > 'src15' GROUP BY source) n ON o.file_path = n.file_path""")
+(SELECT source AS file_path, 'old' AS file_hash, count(*) AS capture_count FROM documents GROUP BY source) o
+FULL JOIN (SELECT CASE WHEN source < 'src2' THEN source || '-new' ELSE source END AS file_path, CAST(max(doc_id) AS VARCHAR) AS file_hash, max_by(n_chars, doc_id) AS capture_count
+  FROM documents GROUP BY 1) n ON o.file_path = n.file_path""")
 def source_upsert(spark, sf_dir):
+    """All documents' sources as a table, and all documents as a batch in which some sources are new."""
     docs = ds.table(spark, sf_dir, "documents")
-    old = docs.where("source < 'src2'").groupBy(F.col("source").alias("file_path")).agg(F.lit("old").alias("file_hash"), F.count(F.lit(1)).alias("capture_count"))
-    batch = docs.where("source > 'src15'").select(F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("file_hash"), F.col("n_chars").alias("capture_count"), F.col("doc_id").alias("seq"))
+    old = docs.groupBy(F.col("source").alias("file_path")).agg(F.lit("old").alias("file_hash"), F.count(F.lit(1)).alias("capture_count"))
+    path = F.when(F.col("source") < "src2", F.concat("source", F.lit("-new"))).otherwise(F.col("source"))
+    batch = docs.select(path.alias("file_path"), F.col("doc_id").cast("string").alias("file_hash"), F.col("n_chars").alias("capture_count"), F.col("doc_id").alias("seq"))
     return ingest.upsert_sources(old, batch, "seq").select("file_path", "file_hash", "capture_count")
 
 
-@query("""SELECT vec_id AS capture_id, CASE WHEN vec_id % 3 = 0 THEN 32 ELSE 64 END AS dimensions FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+@query("""SELECT vec_id AS capture_id, CASE WHEN vec_id % 3 = 0 THEN 32 ELSE 64 END AS dimensions FROM embeddings
+UNION ALL SELECT vec_id + 1000000, 32 FROM embeddings WHERE vec_id % 3 <> 0""")
 def embedding_upsert(spark, sf_dir):
+    """Every vector as state and, halved, as batch; a third of the batch has the state's keys."""
     rows = ds.capture_embeddings(spark, sf_dir).withColumn("created_at", F.current_timestamp())
-    batch = rows.where("capture_id % 3 = 0").withColumns({"embedding": F.slice("embedding", 1, 32), "dimensions": F.lit(32), "seq": F.col("capture_id")})
-    return ingest.upsert_embeddings(rows.where("capture_id % 2 = 0"), batch, "capture_id", "seq").select("capture_id", F.col("dimensions").cast("int").alias("dimensions"))
+    key = F.when(F.col("capture_id") % 3 == 0, F.col("capture_id")).otherwise(F.col("capture_id") + 1000000)
+    batch = rows.withColumns({"embedding": F.slice("embedding", 1, 32), "dimensions": F.lit(32), "seq": F.col("capture_id")}).withColumn("capture_id", key)
+    return ingest.upsert_embeddings(rows, batch, "capture_id", "seq").select("capture_id", F.col("dimensions").cast("int").alias("dimensions"))
 
 
-@query("SELECT vec_id AS capture_id, len(embedding) AS dimensions FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 5 = 0")
+@query("""SELECT CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE vec_id + 1000000 END AS capture_id, len(embedding) AS dimensions FROM embeddings
+UNION ALL SELECT vec_id, len(embedding) FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 5 <> 4""")
 def legacy_embedding_copy(spark, sf_dir):
-    old = ds.table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "embedding")
-    vectors = ds.capture_embeddings(spark, sf_dir).where("capture_id % 2 = 0")
-    return ingest.legacy_embeddings(old, vectors, ds.URL, ds.MODEL).select("capture_id", F.col("dimensions").cast("long").alias("dimensions"))
+    """Every vector in an old column, a fifth of them null, against a table that has half of their keys."""
+    rows = ds.table(spark, sf_dir, "embeddings")
+    old = rows.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 5 != 4, F.col("embedding")).alias("embedding"))
+    key = F.when(F.col("capture_id") % 2 == 0, F.col("capture_id")).otherwise(F.col("capture_id") + 1000000)
+    return ingest.legacy_embeddings(old, ds.capture_embeddings(spark, sf_dir).withColumn("capture_id", key), ds.URL, ds.MODEL).select("capture_id", F.col("dimensions").cast("long").alias("dimensions"))
 
 
 @query("SELECT doc_id + 5000 - (SELECT min(doc_id) FROM documents) + 1 AS new_id, doc_id FROM documents")
@@ -364,19 +375,51 @@ g AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY conv_i
 """
 
 
-@query(_COMMENTS + f""", parts AS (
+_ISSUE_CHUNKS = _COMMENTS + f""", parts AS (
   SELECT conv_id, 0 AS pos, trim('[Issue #' || conv_id || ': Conversation ' || conv_id || ']' || chr(10) || chr(10) || text, chr(32) || chr(10) || chr(9)) AS t FROM n WHERE k = 1
   UNION ALL SELECT conv_id, turn + 1, whole FROM g WHERE NOT short
   UNION ALL SELECT conv_id, min(turn) + 1, any_value(pre) || ' Conversation:' || chr(10) || chr(10) || string_agg(who || chr(10) || body, chr(10) || chr(10) ORDER BY turn) FROM g WHERE short GROUP BY conv_id, island),
 e AS (SELECT conv_id, pos, {_emit_sql("t", 200)} AS cs FROM parts),
 u AS (SELECT conv_id, pos, unnest(range(1, len(cs) + 1)) AS i, cs FROM e)
-SELECT conv_id AS number, row_number() OVER (PARTITION BY conv_id ORDER BY pos, i) - 1 AS chunk_index, cs[i] AS chunk FROM u""")
+"""
+
+
+@query(_ISSUE_CHUNKS + """SELECT conv_id AS number, row_number() OVER (PARTITION BY conv_id ORDER BY pos, i) - 1 AS chunk_index, cs[i] AS chunk FROM u""")
 def issue_chunks(spark, sf_dir):
     i = ds.issues(spark, sf_dir)
     rows = i.select("number", chunking.issue_chunks(F.col("number"), F.col("title"), F.col("body"), F.col("comments")).alias("chunks"))
     return chunking.numbered(rows).select("number", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
 
 
+_ISSUE_RESULTS = _ISSUE_CHUNKS + """, made AS (SELECT conv_id, count(*) AS chunks FROM u GROUP BY conv_id),
+results AS (SELECT 'github://o/r/issues/' || i.conv_id AS file_path, CASE WHEN i.conv_id % 3 = 0 OR chunks IS NULL THEN 'skipped' WHEN i.conv_id % 7 = 0 THEN 'failed' ELSE 'ingested' END AS status,
+  CASE WHEN i.conv_id % 3 = 0 OR chunks IS NULL THEN 0 ELSE chunks END AS chunk_count
+  FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN made ON made.conv_id = i.conv_id)
+"""
+
+
+def _issue_results(spark, sf_dir):
+    """All conversations as issues: a third are known unchanged, a third with another hash; all chunks of every seventh fail."""
+    issues = ds.issues(spark, sf_dir)
+    number, path = F.col("number"), ingest.issue_path("o/r", F.col("number"))
+    own = chunking.issue_hash(F.col("body"), F.col("comments"))
+    known = issues.select(F.when(number % 3 == 2, F.concat(path, F.lit("/other"))).otherwise(path).alias("file_path"), F.when(number % 3 == 0, own).otherwise("old").alias("file_hash"))
+    checked = ingest.checked_issues(issues, "o/r", known)
+    prepared = checked.select("file_path", F.when(number % 7 == 0, F.size("chunks")).otherwise(0).alias("failed"))
+    return ingest.issue_results(checked, prepared)
+
+
+@query(_ISSUE_RESULTS + "SELECT file_path, status, CAST(chunk_count AS BIGINT) AS chunk_count FROM results")
+def issue_ingest(spark, sf_dir):
+    return _issue_results(spark, sf_dir).select("file_path", "status", F.col("chunk_count").cast("long").alias("chunk_count"))
+
+
+@query(_ISSUE_RESULTS + """SELECT count(*) AS total_issues, count(*) FILTER (status = 'ingested') AS ingested, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed,
+  CAST(coalesce(sum(chunk_count) FILTER (status = 'ingested'), 0) AS BIGINT) AS total_chunks FROM results""")
+def issue_ingest_counters(spark, sf_dir):
+    return ingest.issue_counters(_issue_results(spark, sf_dir))
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE length(trim(text, chr(32) || chr(10) || chr(9))) < 50")
 def noise_comments(spark, sf_dir):
     return ds.table(spark, sf_dir, "conversations").where(tx.is_noise(F.col("text"))).select("conv_id", "turn")
@@ -454,14 +497,35 @@ def pulse_issues(spark, sf_dir):
     return pulse.recent_issues(rows, now).select("repo", "number", "created_at", "updated_at", "is_new", "is_active")
 
 
-@query("""SELECT * FROM (SELECT event_type AS repo, event_id AS number, CASE WHEN event_type = 'purchase' THEN 'merged' ELSE 'review_covered' END AS activity_type, ts FROM events
-WHERE event_type IN ('purchase', 'click')) ORDER BY ts DESC, repo, number LIMIT 30""")
+def _event_items(spark, sf_dir):
+    """Every event as one pull request of its repo."""
+    none = F.lit(None).cast("string")
+    item = F.struct(F.col("event_id").alias("number"), none.alias("at"), none.alias("updated_at"), none.alias("merged_at"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), F.col("ts"))
+    return ds.table(spark, sf_dir, "events").select(F.col("event_type").alias("repo"), none.alias("error"), F.array(item).alias("items"))
+
+
+@query("""SELECT event_type AS repo, event_id AS number, CASE WHEN event_type = 'purchase' THEN 'merged' ELSE 'review_covered' END AS activity_type, ts FROM events
+ORDER BY ts DESC, repo, number LIMIT 30""")
 def pulse_team_union(spark, sf_dir):
-    events = ds.table(spark, sf_dir, "events").select(F.col("event_type").alias("repo"), F.struct(F.col("event_id").alias("number"), F.lit(None).cast("string").alias("at"), F.lit(None).cast("string").alias("updated_at"), F.lit(None).cast("string").alias("merged_at"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), F.col("ts")).alias("pr"))
-    statuses = events.select("repo", F.when(F.col("repo") == "purchase", F.array("pr")).alias("recently_merged"), F.when(F.col("repo") == "click", F.array("pr")).alias("demoted_reviews"))
+    rows = _event_items(spark, sf_dir)
+    statuses = rows.select("repo", F.when(F.col("repo") == "purchase", F.col("items")).alias("recently_merged"), F.when(F.col("repo") != "purchase", F.col("items")).alias("demoted_reviews"))
     return pulse.team_activity(statuses).select("repo", "number", "activity_type", "ts")
 
 
+@query("SELECT event_type AS repo, event_id AS number, ts FROM events")
+def pulse_needs_action(spark, sf_dir):
+    """Two lists of every status in one, latest first."""
+    rows = pulse.usable(_event_items(spark, sf_dir))
+    statuses = rows.select("repo", F.when(F.col("repo") == "click", F.col("items")).alias("awaiting_your_review"), F.when(F.col("repo") != "click", F.col("items")).alias("recent_activity_on_your_prs"))
+    return pulse.needs_action(statuses).select("repo", "number", "ts")
+
+
+@query("SELECT event_type AS repo, event_id AS number, ts FROM events WHERE event_type = 'click'")
+def pulse_repo_filter(spark, sf_dir):
+    """One repo's view, the tool's own filter."""
+    return pulse.waiting(pulse.usable(_event_items(spark, sf_dir), "click").withColumnRenamed("items", "your_prs_pending_review")).select("repo", "number", "ts")
+
+
 @query(f"SELECT CAST(sum(user_id % 7) AS BIGINT) AS stale_filtered, CAST(floor((epoch_us({_NOW}) - epoch_us(min(ts))) / 60000000.0 + 0.5) AS BIGINT) AS data_age_minutes FROM events WHERE event_type <> 'error'")
 def pulse_age(spark, sf_dir):
     _, now = ds.event_issues(spark, sf_dir)
@@ -480,13 +544,15 @@ def batch_counters(spark, sf_dir):
     return ingest.batch_counters(rows)
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, source || ': ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || left(text, 10) ELSE '' END AS embedded,
+@query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, lang || '/doc - ' || source || ': ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || text ELSE '' END AS embedded,
+lang || '/doc - ' || source || ': ' || lang || chr(10) || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS backfilled,
 regexp_replace(lower(source || '/Model.V1'), '[^a-z0-9]', '_', 'g') AS name, CAST(floor(doc_id / 4.0 + 0.5) AS BIGINT) AS rounded, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE source || ', ' || lang END AS joined FROM documents""")
 def text_functions(spark, sf_dir):
     d = ds.table(spark, sf_dir, "documents")
-    context = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(10))).otherwise("")
+    context = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
+    parts = (F.col("lang"), F.lit("doc"), F.col("source"), F.col("lang"), context)
     return d.select(
-        "doc_id", tx.preview(F.col("text")).alias("preview"), tx.embed_text(F.col("source"), F.col("lang"), context).alias("embedded"), tx.identifier(F.concat("source", F.lit("/Model.V1"))).alias("name"),
+        "doc_id", tx.preview(F.col("text")).alias("preview"), tx.embed_text(*parts).alias("embedded"), tx.embed_text(*parts, backfill=True).alias("backfilled"), tx.identifier(F.concat("source", F.lit("/Model.V1"))).alias("name"),
         tx.round_half_up(F.col("doc_id") / 4).alias("rounded"), tx.joined_or(F.when(F.col("doc_id") % 3 != 0, F.array("source", "lang")).otherwise(F.array().cast("array<string>")), ", ", "none").alias("joined"),
     )
 
@@ -499,10 +565,9 @@ def format_detection(spark, sf_dir):
     return d.select("doc_id", tx.file_format(path).alias("format"), tx.base_name(path).alias("name"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n FROM documents")
+@query("""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '')) AS INTEGER) AS n FROM documents""")
 def list_functions(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 2 == 0, " a, ,b ,").otherwise(" , ")
-    return ds.table(spark, sf_dir, "documents").select("doc_id", F.size(tx.split_list(text)).alias("n"))
+    return ds.table(spark, sf_dir, "documents").select("doc_id", F.size(tx.split_list(F.col("text"))).alias("n"))
 
 
 @query("""SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND (starts_with(b.n_name, a.n_name) OR starts_with(a.n_name, b.n_name))""")

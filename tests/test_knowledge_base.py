@@ -30,7 +30,7 @@ def test_thoughts_and_facts(kb):
     assert "**price**: 12" in kb.lookup_fact("price") and "**price**: 11" in kb.lookup_fact("price", as_of="2024-02-10")
     assert kb.lookup_fact("none") == 'No fact found for key "none".'
     assert kb.search_facts(search_text="PRICE").startswith("Found 1 fact(s)") and kb.search_facts(current_only=False).startswith("Found 3")
-    assert "**Facts** (current)\n1. [d/c] price = 12" in kb.search_context("price: 12", min_similarity=0.99)
+    assert "**Facts** (current)\n1. [d/c] price = 12" in kb.search_context("d/c - price: 12", min_similarity=0.99)
     assert "Total captures: 2\nTotal active facts: 1" in kb.context_stats()
 
 
@@ -74,3 +74,56 @@ def test_pulse(kb, tmp_path):
     assert {x["number"]: (x["is_new"], x["gold"]) for x in p["recent_issues"]} == {5: (True, True), 6: (False, True), 8: (False, True)}
     assert p["stale_filtered"] == 2 and p["data_age_minutes"] == 30 and p["warnings"] == ["two: no access"]
     assert json.loads(kb.project_pulse(str(tmp_path), "absent"))["data_age_minutes"] == 0
+
+
+def test_bounds(spark, tmp_path):
+    kb = open_knowledge_base(spark, f"file://{tmp_path}/kb", domains=["project"], types=["note"], currencies=["EUR"], units=["monthly"])
+    for call in (
+        lambda: kb.search_context("q", limit=21), lambda: kb.search_context("q", limit=0), lambda: kb.search_context("q", min_similarity=1.1), lambda: kb.search_facts(limit=101),
+        lambda: kb.list_recent(limit=51), lambda: kb.list_recent(limit=-1), lambda: kb.lookup_fact("k", domain="other"), lambda: kb.capture_thought("x", type_="poem"),
+        lambda: kb.save_fact("project", "c", "k", "v", currency="USD"), lambda: kb.save_fact("project", "c", "k", "v", unit="daily"), lambda: kb.ingest_document("/", domain="other"),
+    ):
+        with pytest.raises(ValueError):
+            call()
+    assert kb.capture_thought("x", domain="project", type_="note").startswith("Saved")
+
+
+def test_issues(kb, spark):
+    from notarium import schemas
+
+    long = "This is what the issue is about, in words that are many enough to stand alone as a chunk. " * 4
+    issue = lambda n, body, *comments: (n, f"Title {n}", body, None, None, [(("a",), c, "2024-01-01T00:00:00Z") for c in comments])
+    rows = [issue(1, long, long + "more"), issue(2, "short"), issue(3, long + "other")]
+    first = kb.ingest_issues(spark.createDataFrame(rows, schemas.ISSUE), "o/r")
+    assert first == {"total_issues": 3, "ingested": 2, "skipped": 1, "failed": 0, "total_chunks": 3}
+    assert kb.ingest_issues(spark.createDataFrame(rows, schemas.ISSUE), "o/r")["skipped"] == 3
+    rows[0] = issue(1, long + "changed")
+    changed = spark.createDataFrame(rows, schemas.ISSUE)
+    assert kb.ingest_issues(changed, "o/r", dry_run=True)["ingested"] == 1 and kb.table("captures").count() == 3
+    assert kb.ingest_issues(changed, "o/r")["total_chunks"] == 1
+    held = kb.table("captures").collect()
+    assert sorted(r.source_file for r in held) == ["github://o/r/issues/1", "github://o/r/issues/3"] and {r.source_type for r in held} == {"github_issue_import"}
+    assert any("changed" in r.content for r in held) and kb.table("capture_embeddings").count() == 2
+
+
+def test_issues_whose_chunks_fail_change_nothing(spark, tmp_path):
+    from notarium import schemas
+
+    kb = open_knowledge_base(spark, f"file://{tmp_path}/kb", embedder=lambda texts: [None if "bad" in t else [1.0] * 16 for t in texts])
+    words = "These are words of an issue that are enough for one chunk of its own, and then some. " * 4
+    rows = [(1, "t", words + "bad", None, None, []), (2, "t", words, None, None, None)]
+    got = kb.ingest_issues(spark.createDataFrame(rows, schemas.ISSUE), "o/r")
+    assert (got["ingested"], got["failed"], got["total_chunks"]) == (1, 1, 1)
+    assert [r.file_path for r in kb.table("sources").collect()] == ["github://o/r/issues/2"]
+
+
+def test_people_and_vectors(spark, tmp_path):
+    root = f"file://{tmp_path}/kb"
+    old = open_knowledge_base(spark, root, model="old")
+    old.save_fact("d", "c", "k", "v", people=["Adam-H", "x"], as_of="2024-01-01")
+    old.capture_thought("a thought")
+    kb = open_knowledge_base(spark, root, aliases=Aliases.of({"adam": {"aliases": ["Adam-H"]}}))
+    assert kb.canonicalise_people(dry_run=True)["facts"] == {"changed": 1, "unchanged": 0} and old.table("fact_saves").first().people == ["adam-h", "x"]
+    assert kb.canonicalise_people()["collapsed"] == {"adam": 1} and kb.table("fact_saves").first().people == ["adam", "x"]
+    assert kb.fill_vectors() == {"capture_embeddings": (1, 0), "fact_embeddings": (1, 0)} and kb.fill_vectors() == {"capture_embeddings": (0, 0), "fact_embeddings": (0, 0)}
+    assert kb.table("capture_embeddings").count() == 2 and "k = v" in kb.search_context("d/c - k: v", min_similarity=0.99)
