@@ -334,13 +334,15 @@ def _crowded_pairs(crowded: DataFrame, classes: DataFrame, sets: DataFrame, root
     posted = posted.select("key", "root", "n", F.size("items").alias("size"), F.posexplode(F.slice("items", F.lit(1), F.size("items") - need + 1)).alias("i", "x"))
     postings = materialise(posted.select(F.col("x.item").alias("item"), "key", "root", "n", (F.col("size") - F.col("i")).alias("left")), "postings")
     homes = postings.groupBy("item", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("item")
+    # written down, so that the joins read plain exchanges, of which Spark splits the parts with hot shingles
     meeting = homes.agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("homes")).where("homes > 1").select("item", "largest")
+    meeting = materialise(meeting, "meeting")
     side = lambda x: postings.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "n", "left")])
     one = side("a").join(meeting, "item").where("root_a <> largest").drop("largest")
     sizes = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b) AND {100 + PERCENT} * least(left_a, left_b) >= {PERCENT} * (n_a + n_b)"
     met = one.join(side("b"), "item").where("root_a <> root_b").where(sizes)
     out = materialise(_estimated(_ordered(met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))), classes), "close")
-    for old in (several, shared, postings):
+    for old in (several, shared, postings, meeting):
         discard(old)
     return out
 
