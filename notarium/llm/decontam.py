@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import TERM_SEPARATORS, TERMS, ascii_lower, discard, materialise, words
+from .common import ANY_CASE_SEPARATORS, TERM_SEPARATORS, ascii_lower, discard, materialise, words
 
 WINDOW = 10
 ANCHORS, NEAR_ANCHORS = 2, 3
@@ -95,11 +95,16 @@ def near_alignments(index: DataFrame, lookups: DataFrame, window: int = WINDOW,
     """(row, item, cell): two anchors of an item within a window of each other have alignments in the cell.
 
     Cells are as wide as two stretches of slop + 1 alignments and overlap by one, so that alignments within slop share one.
-    Offsets are dealt in the same way by stretches of `window`.
+    Offsets are dealt in the same way by stretches of `window`.  A document's alignments with an item are brought together
+    first, within the task that read them; only where two of them are within slop are they dealt to cells, and that
+    needs no further shuffle.
     """
-    met = index.join(lookups.where(F.col("n") >= window), "term").select("row", "item", "offset", (F.col("pos") - F.col("offset")).alias("at"))
+    met = index.join(lookups.where(F.col("n") >= window), "term").select("row", "item", F.struct((F.col("pos") - F.col("offset")).alias("at"), "offset").alias("x"))
+    own = met.groupBy("row", "item").agg(F.collect_list("x").alias("xs")).where("size(xs) > 1").select("row", "item", F.sort_array("xs").alias("xs"))
+    near = own.where(F.exists(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: F.get("xs", i)["at"] - F.get("xs", i - 1)["at"] <= slop))
+    each = near.select("row", "item", F.explode("xs").alias("x")).select("row", "item", F.col("x.at").alias("at"), F.col("x.offset").alias("offset"))
     cell, part = F.floor(F.col("at") / (slop + 1)).cast("int"), F.floor(F.col("offset") / window).cast("int")
-    spread = met.select("row", "item", "offset", F.explode(F.array(cell, cell + 1)).alias("cell"), F.array(part, part + 1).alias("parts"))
+    spread = each.select("row", "item", "offset", F.explode(F.array(cell, cell + 1)).alias("cell"), F.array(part, part + 1).alias("parts"))
     spread = spread.select("row", "item", "offset", "cell", F.explode("parts").alias("part"))
     several = spread.groupBy("row", "item", "cell", "part").agg((F.min("offset") < F.max("offset")).alias("two")).where("two")
     return several.select("row", "item", "cell").distinct()
@@ -174,8 +179,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop:
     found = materialise(exact.join(near, "row", "full_outer"), "found")
     for old in (items, counts, lookups, index):
         discard(old)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n_words = F.regexp_count(text, F.lit(TERMS)).cast("long").alias("n_words")
+    n_words = F.size(words(F.col("text"), ANY_CASE_SEPARATORS)).cast("long").alias("n_words")
     rows = docs.select("doc_id", "text", row_key(docs).alias("row")).join(found, "row", "left")
     # only texts in which something was found are cut into words
     cut = rows.select("doc_id", n_words, "exact", "near", F.when(F.col("exact").isNotNull() | F.col("near").isNotNull(), terms(F.col("text"))).alias("w"))
