@@ -33,7 +33,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -53,7 +53,11 @@ BLOCKS = frozenset(b"p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article sectio
 _NAME = re.compile(rb"/?([a-z][a-z0-9-]*+)", re.I)
 _ATTRIBUTE = re.compile(rb"""[\s/]*+(?:([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s]*+)))?+|=)""")
 _LONG_NUMBER = re.compile(r"&#[0-9]{8,}+")
-_BLANK = re.compile(r"[ \xa0\t\r\f\v]+")
+_BLANKS = re.compile(r"[ \xa0\t\r\f\v]{2,}+|[\xa0\t\r\f\v]")
+#: Paths from the root that stay as they are when they are made absolute.
+_PLAIN_PATH = re.compile(r"/(?:[\w%~,-][\w%~,/-]*+)?")
+#: Effort of gzip: a record is small, and compressing it costs more than anything else that is done with it.
+LEVEL = 3
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
@@ -133,7 +137,7 @@ def scan(page: str) -> tuple[str, list[bytes], list[str]]:
 def plain_text(page: str, pieces: list[bytes] | None = None) -> str:
     """Visible text, one line for each block."""
     text = _unescaped(b"".join(scan(page)[1] if pieces is None else pieces))
-    lines = (_BLANK.sub(" ", x).strip() for x in text.split("\n"))
+    lines = (x.strip() for x in _BLANKS.sub(" ", text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -146,7 +150,12 @@ def _absolute(uri: str, link: str) -> str:
 
 def links(targets: list[str], uri: str) -> list[str]:
     """Targets, absolute, first occurrences in order."""
-    return list(dict.fromkeys(_absolute(uri, x) for x in targets))
+    try:
+        base = urlsplit(uri)
+    except ValueError:
+        base = urlsplit("")
+    root = f"{base.scheme}://{base.netloc}" if base.scheme in ("http", "https") and base.netloc else ""
+    return list(dict.fromkeys(root + x if root and _PLAIN_PATH.fullmatch(x) else _absolute(uri, x) for x in targets))
 
 
 # -- the file format ------------------------------------------------------------------------------------------------
@@ -234,7 +243,7 @@ def _write(rows: DataFrame, path: str, record) -> DataFrame:
             if sink is None:
                 fs.create_dir(os.path.dirname(final), recursive=True)
                 sink = fs.open_output_stream(tmp, compression=None)
-            sink.write(gzip.compress(record(r), 6, mtime=0))
+            sink.write(gzip.compress(record(r), LEVEL, mtime=0))
             n += 1
         if sink:
             sink.close()
