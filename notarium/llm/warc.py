@@ -204,8 +204,8 @@ def records_of(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     fs, at = open_path(path)
     with fs.open_input_stream(at, compression=None) as f, io.BufferedReader(f) as raw:
         if raw.peek(2)[:2] == b"\x1f\x8b":
-            with gzip.open(raw) as data:
-                yield from parse(data)
+            with gzip.open(raw) as data, io.BufferedReader(data, 1 << 20) as lines:
+                yield from parse(lines)
         else:
             yield from parse(raw)
 
