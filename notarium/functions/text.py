@@ -7,19 +7,19 @@ import re
 from pyspark.sql import Column, functions as F
 
 # What counts as white space when trimming (Unicode spaces and the byte order mark).
-_SPACE = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # File extensions and their formats.
 FORMATS = {"md": "markdown", "markdown": "markdown", "pdf": "pdf", "txt": "text"}
 # Characters of comments that are only reactions.
 _REACTION = (
-    r"\A(?:" + _SPACE + r"|[\p{So}+\-!?.,:;'\"()\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}\x{25AA}-\x{27BF}"
-    r"\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}])+\z"
+    r"\A[" + SPACES + r"\p{So}+\-!?.,:;'\"()\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}\x{25AA}-\x{27BF}"
+    r"\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}]+\z"
 )
 NOISE_BELOW = 50
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def preview(text: Column, size: int = 200) -> Column:

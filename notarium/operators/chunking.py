@@ -20,14 +20,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def joined(parts: Column, begin: Column, many: Column, separator: str) -> Column:
+    """`many` parts from `begin` (from 0) as one text.  A slice would read all parts each time."""
+    return F.when(many > 0, F.array_join(F.transform(F.sequence(begin, begin + many - 1), lambda i: F.get(parts, i)), separator)).otherwise(F.lit(""))
+
+
 def hard_split(text: Column, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> Column:
-    """Pieces of `size` characters that overlap; when they would not advance, only the first."""
+    """Pieces of `size` characters that overlap; when they would not advance, only the first.
+
+    The text is cut once, into blocks of what each piece adds; a piece is its block and the begin of what follows.
+    """
     step = size - overlap
     length = F.char_length(text)
     if step <= 0:
         return F.array(F.substring(text, 1, size))
-    last = F.when(length <= size, F.lit(0)).otherwise(F.ceil((length - size) / step).cast("int"))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+    last = F.ceil((length - size) / step).cast("int")
+    ahead = -(-overlap // step)
+
+    def pieces(blocks: Column) -> Column:
+        follows = lambda i: F.substring(F.array_join(F.slice(blocks, i + 2, F.lit(ahead)), ""), 1, overlap)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.get(blocks, i), follows(i)))
+
+    return F.when(length <= size, F.array(text)).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), pieces))
 
 
 def _emit(content: Column, least: int) -> Column:
@@ -41,26 +55,39 @@ def _emit(content: Column, least: int) -> Column:
 
 
 def pack(paragraphs: Column, prefix: Column, *, first_only: bool = False, least: int = 0) -> Column:
-    """Greedy packing of paragraphs into chunks of at most MAX_CHUNK with the prefix.
+    """Greedy packing of paragraphs, none of them blank, into chunks of at most MAX_CHUNK with the prefix.
 
-    first_only: the prefix stands before the chunks until one is emitted; otherwise before each.
+    first_only: the prefix stands before the first chunk that is emitted; otherwise before each.
+    least: shorter chunks are left out, which asks for trimmed paragraphs and a prefix that begins with no blank.
+
+    A fold over the lengths alone finds the chunks' borders; the texts are joined once, afterwards.
     """
 
-    def fold(prefix: Column) -> Column:
-        here = (lambda out: F.when(F.size(out) == 0, prefix).otherwise(F.lit(""))) if first_only else (lambda out: prefix)
-        add = lambda acc: F.concat(acc["o"], _emit(F.concat(here(acc["o"]), acc["b"]), least))
+    def cuts(lengths: Column, before: Column) -> Column:
+        here = (lambda acc: F.when(acc["said"], 0).otherwise(before)) if first_only else (lambda acc: before)
+        emitted = lambda acc: here(acc) + acc["n"] >= least
+        own = lambda acc: F.array(F.struct(acc["begin"].alias("begin"), (acc["i"] - acc["begin"]).alias("many"), (~acc["said"] if first_only else F.lit(True)).alias("headed")))
+        out = lambda acc: F.when(emitted(acc), F.concat(acc["o"], own(acc))).otherwise(acc["o"])
 
-        def step(acc: Column, p: Column) -> Column:
-            def decided(joined: Column) -> Column:
-                full = (F.char_length(here(acc["o"])) + F.char_length(joined) > MAX_CHUNK) & (acc["b"] != "")
-                return F.when(full, F.struct(add(acc).alias("o"), p.alias("b"))).otherwise(F.struct(acc["o"].alias("o"), joined.alias("b")))
+        def step(acc: Column, n: Column) -> Column:
+            grown = acc["n"] + 2 + n
+            state = lambda o, begin, n, said: F.struct(o.alias("o"), begin.alias("begin"), (acc["i"] + 1).alias("i"), n.alias("n"), said.alias("said"))
+            return (
+                F.when(acc["n"] == 0, state(acc["o"], acc["begin"], n, acc["said"]))
+                .when(here(acc) + grown > MAX_CHUNK, state(out(acc), acc["i"], n, acc["said"] | emitted(acc)))
+                .otherwise(state(acc["o"], acc["begin"], grown, acc["said"]))
+            )
 
-            return let(F.when(acc["b"] == "", p).otherwise(F.concat(acc["b"], F.lit("\n\n"), p)), decided)
+        none = F.array().cast("array<struct<begin:int,many:int,headed:boolean>>")
+        zero = F.struct(none.alias("o"), F.lit(0).alias("begin"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("said"))
+        return F.aggregate(lengths, zero, step, lambda acc: F.when(acc["n"] == 0, acc["o"]).otherwise(out(acc)))
 
-        zero = F.struct(F.array().cast(_STRINGS).alias("o"), F.lit("").alias("b"))
-        return F.aggregate(paragraphs, zero, step, lambda acc: F.when(trim_all(acc["b"]) == "", acc["o"]).otherwise(add(acc)))
+    def chunks(parts: Column, prefix: Column) -> Column:
+        text = lambda c: F.concat(F.when(c["headed"], prefix).otherwise(F.lit("")), joined(parts, c["begin"], c["many"], "\n\n"))
+        borders = let(F.char_length(prefix), lambda n: cuts(F.transform(parts, F.char_length), n))
+        return F.flatten(F.transform(borders, lambda c: _emit(text(c), 0)))
 
-    return let(F.coalesce(prefix, F.lit("")), fold)
+    return let(F.coalesce(prefix, F.lit("")), lambda p: let(paragraphs, lambda parts: chunks(parts, p)))
 
 
 def paragraphs(text: Column, trimmed: bool = False) -> Column:
@@ -100,13 +127,14 @@ def markdown_sections(docs: DataFrame, text: str = "content") -> DataFrame:
         *passed, F.when(F.col("_n") > 0, F.array_join(F.slice("_lines", F.lit(1), F.col("_n")), "\n")).otherwise(F.lit("")).alias("front_matter"),
         F.slice("_lines", F.col("_n") + 1, F.size("_lines")).alias("_l"),
     )
-    heads = F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), F.char_length(F.regexp_extract(x, _HEADING, 1)).alias("level"), trim_all(F.regexp_extract(x, _HEADING, 2)).alias("t"))), lambda h: h["level"] > 0)
+    marked = F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda h: F.startswith(h["x"], F.lit("#")))
+    heads = F.filter(F.transform(marked, lambda h: F.struct(h["i"].alias("i"), F.char_length(F.regexp_extract(h["x"], _HEADING, 1)).alias("level"), trim_all(F.regexp_extract(h["x"], _HEADING, 2)).alias("t"))), lambda h: h["level"] > 0)
     placed = body.withColumn("_h", heads).withColumn("_c", _breadcrumbs(F.col("_h")))
     begin = F.concat(F.array(F.lit(0)), F.transform("_h", lambda h: h["i"] + 1))
     end = F.concat(F.transform("_h", lambda h: h["i"]), F.array(F.size("_l")))
     spans = F.arrays_zip(begin.alias("begin"), end.alias("end"), F.concat(F.array(F.lit("")), "_c").alias("heading"))
     cut = placed.select(*passed, "front_matter", "_l", spans.alias("_s"))
-    section = lambda s: F.struct(s["heading"].alias("heading"), trim_all(F.array_join(F.slice(F.col("_l"), s["begin"] + 1, s["end"] - s["begin"]), "\n")).alias("text"))
+    section = lambda s: F.struct(s["heading"].alias("heading"), trim_all(joined(F.col("_l"), s["begin"], s["end"] - s["begin"], "\n")).alias("text"))
     return cut.select(*passed, "front_matter", F.transform("_s", section).alias("sections"))
 
 
@@ -140,27 +168,36 @@ def markdown_chunks(docs: DataFrame, text: str = "content") -> DataFrame:
 
 # -- Pages ----------------------------------------------------------------------------------------------------------
 
-_OPEN_END = r"[.!?:;)\]\"'][\s\x{A0}\x{FEFF}]*\z"
+# What a page ends in when its last sentence is complete.
+_ENDS = list(".!?:;)]\"'")
 
 
 def merged_pages(pages: Column) -> Column:
-    """Pages joined while the text so far ends in mid-sentence or is short: an array of (text, first, last)."""
-    kind = "array<struct<text:string,first:int,last:int>>"
+    """Pages joined while the text so far ends in mid-sentence or is short: an array of (text, first, last).
 
-    def step(acc: Column, x: Column) -> Column:
-        now = trim_all(acc["now"])
-        joins = ((now != "") & ~F.rlike(now, F.lit(_OPEN_END))) | (F.char_length(now) < MIN_CHUNK)
-        done = F.array(F.struct(now.alias("text"), acc["first"].alias("first"), x["i"].alias("last")))
-        return F.struct(
-            F.when(joins, acc["o"]).otherwise(F.concat(acc["o"], done)).alias("o"),
-            F.when(joins, F.concat(now, F.lit("\n\n"), trim_all(x["p"]))).otherwise(trim_all(x["p"])).alias("now"),
-            F.when(joins, acc["first"]).otherwise(x["i"] + 1).alias("first"),
-        )
+    A text is its pages, trimmed, without blank ones; so lengths and ends of pages tell where texts end.
+    """
+    kind = "array<struct<first:int,last:int>>"
 
-    rest = F.transform(F.slice(pages, F.lit(2), F.greatest(F.size(pages) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("p"), (i + 1).cast("int").alias("i")))
-    zero = F.struct(F.array().cast(kind).alias("o"), F.get(pages, F.lit(0)).alias("now"), F.lit(1).alias("first"))
-    finish = lambda acc: F.concat(acc["o"], F.array(F.struct(trim_all(acc["now"]).alias("text"), acc["first"].alias("first"), F.size(pages).alias("last"))))
-    return F.when(F.size(pages) > 0, F.aggregate(rest, zero, step, finish)).otherwise(F.array().cast(kind))
+    def merged(pages: Column) -> Column:
+        seen = F.transform(pages, lambda p: F.struct(F.char_length(p).alias("n"), (~F.substring(p, -1, 1).isin(_ENDS)).alias("open")))
+
+        def step(acc: Column, x: Column) -> Column:
+            state = lambda o, n, open_, first: F.struct(o.alias("o"), n.alias("n"), open_.alias("open"), first.alias("first"), (acc["i"] + 1).alias("i"))
+            text = F.array(F.struct(acc["first"].alias("first"), acc["i"].alias("last")))
+            grown = F.when(acc["n"] == 0, x["n"]).otherwise(acc["n"] + 2 + x["n"])
+            return (
+                F.when((acc["n"] >= MIN_CHUNK) & ~acc["open"], state(F.concat(acc["o"], text), x["n"], x["open"], acc["i"] + 1))
+                .when(x["n"] == 0, state(acc["o"], acc["n"], acc["open"], acc["first"]))
+                .otherwise(state(acc["o"], grown, x["open"], acc["first"]))
+            )
+
+        zero = F.struct(F.array().cast(kind).alias("o"), F.lit(0).alias("n"), F.lit(True).alias("open"), F.lit(1).alias("first"), F.lit(0).alias("i"))
+        spans = F.aggregate(seen, zero, step, lambda acc: F.when(acc["i"] == 0, acc["o"]).otherwise(F.concat(acc["o"], F.array(F.struct(acc["first"].alias("first"), acc["i"].alias("last"))))))
+        text = lambda s: F.array_join(F.filter(F.slice(pages, s["first"], s["last"] - s["first"] + 1), lambda p: p != ""), "\n\n")
+        return F.transform(spans, lambda s: F.struct(text(s).alias("text"), s["first"].alias("first"), s["last"].alias("last")))
+
+    return let(F.transform(pages, lambda p: F.coalesce(trim_all(p), F.lit(""))), merged)
 
 
 def page_chunks(pages: Column) -> Column:
@@ -194,19 +231,19 @@ def issue_chunks(number: Column, title: Column, body: Column, comments: Column)
     alone = F.transform(real, lambda c: F.struct(
         F.concat(prefix, F.lit(" Comment by "), _who(c), F.lit("\n\n"), trim_all(c["body"])).alias("full"), F.concat(_who(c), F.lit("\n"), trim_all(c["body"])).alias("line"),
     ))
-    kind = "array<struct<short:boolean,text:string>>"
 
-    def step(acc: Column, c: Column) -> Column:
-        short = F.char_length(c["full"]) < MIN_CHUNK
-        last = F.element_at(acc, -1)
-        goes_on = short & (F.size(acc) > 0) & F.coalesce(F.get(acc, F.size(acc) - 1)["short"], F.lit(False))
-        grown = lambda: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.lit(True).alias("short"), F.concat(last["text"], F.lit("\n\n"), c["line"]).alias("text"))))
-        text = F.when(short, F.concat(prefix, F.lit(" Conversation:\n\n"), c["line"])).otherwise(c["full"])
-        return F.when(goes_on, grown()).otherwise(F.concat(acc, F.array(F.struct(short.alias("short"), text.alias("text")))))
+    def groups(c: Column) -> Column:
+        short = lambda i: F.char_length(F.get(c, i)["full"]) < MIN_CHUNK
+        begins = F.filter(F.transform(c, lambda x, i: i), lambda i: (i == 0) | ~(short(i) & F.coalesce(short(i - 1), F.lit(False))))
+
+        def text(begins: Column) -> Column:
+            talk = lambda i, k: F.array_join(F.transform(F.slice(c, i + 1, F.coalesce(F.get(begins, k + 1), F.size(c)) - i), lambda x: x["line"]), "\n\n")
+            return F.transform(begins, lambda i, k: F.when(short(i), F.concat(prefix, F.lit(" Conversation:\n\n"), talk(i, k))).otherwise(F.get(c, i)["full"]))
+
+        return let(begins, text)
 
-    groups = F.aggregate(alone, F.array().cast(kind), step)
     root = trim_all(F.concat(prefix, F.lit("\n\n"), F.coalesce(body, F.lit(""))))
-    return F.concat(_emit(root, MIN_CHUNK), F.flatten(F.transform(groups, lambda g: _emit(g["text"], MIN_CHUNK))))
+    return F.concat(_emit(root, MIN_CHUNK), F.flatten(F.transform(let(alone, groups), lambda g: _emit(g, MIN_CHUNK))))
 
 
 def issue_hash(body: Column, comments: Column) -> Column:
@@ -216,5 +253,8 @@ def issue_hash(body: Column, comments: Column) -> Column:
 
 
 def numbered(docs: DataFrame, chunks: str = "chunks") -> DataFrame:
-    """One row for each chunk, with chunk_index from 0 within the document."""
-    return docs.select(*[c for c in docs.columns if c != chunks], F.posexplode(chunks).alias("chunk_index", "chunk"))
+    """One row for each chunk, with chunk_index from 0 within the document.
+
+    The explode is an outer one, as for an inner one Spark would make the chunks once more, to ask whether there are any.
+    """
+    return docs.select(*[c for c in docs.columns if c != chunks], F.posexplode_outer(chunks).alias("chunk_index", "chunk")).where("chunk_index IS NOT NULL")
