@@ -53,7 +53,7 @@ BLOCKS = frozenset(b"p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article sectio
 _NAME = re.compile(rb"/?([a-z][a-z0-9-]*+)", re.I)
 _ATTRIBUTE = re.compile(rb"""[\s/]*+(?:([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s]*+)))?+|=)""")
 _LONG_NUMBER = re.compile(r"&#[0-9]{8,}+")
-_BLANKS = re.compile(r"[ \xa0\t\r\f\v]{2,}+|[\xa0\t\r\f\v]")
+_BLANKS = re.compile("  ++")
 #: Paths from the root that stay as they are when they are made absolute.
 _PLAIN_PATH = re.compile(r"/(?:[\w%~,-][\w%~,/-]*+)?")
 #: Effort of gzip: a record is small, and compressing it costs more than anything else that is done with it.
@@ -78,7 +78,8 @@ def field(value: str | None) -> str:
 
 
 def _unescaped(text: bytes) -> str:
-    return html.unescape(_LONG_NUMBER.sub("&#99999999", text.decode(errors="replace")))
+    told = text.decode(errors="replace")
+    return html.unescape(_LONG_NUMBER.sub("&#99999999", told) if "&#" in told else told)
 
 
 def _close(low: bytes, name: bytes, at: int) -> int:
@@ -137,6 +138,8 @@ def scan(page: str) -> tuple[str, list[bytes], list[str]]:
 def plain_text(page: str, pieces: list[bytes] | None = None) -> str:
     """Visible text, one line for each block."""
     text = _unescaped(b"".join(scan(page)[1] if pieces is None else pieces))
+    for blank in "\xa0\t\r\f\v":
+        text = text.replace(blank, " ")
     lines = (x.strip() for x in _BLANKS.sub(" ", text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -262,7 +265,7 @@ def _read(files: DataFrame, ddl: str, rows, weight: str) -> DataFrame:
             for path in batch.column("file").to_pylist():
                 yield from _batches(rows(path), schema, weight)
 
-    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, ddl)
+    return files.select("file").repartitionByRange(max(1, files.count()), "file").mapInArrow(run, ddl)
 
 
 # -- responses ------------------------------------------------------------------------------------------------------
