@@ -1,10 +1,11 @@
 r"""Line dedup by overlapping three-line windows (operator 5, DataFrame functions only).
 
-Each run of WINDOW consecutive lines (of those that hold a word) is hashed; windows that occur more than once anywhere
-keep their first occurrence, in order of doc_id and position; the lines of all later occurrences are put together and
-removed.  Counting is one aggregation by hash with partial sums, so that a window of which a third of all documents
-have a copy is one row per task; finding the later occurrences is a join by hash against one row per repeated window.
-What is gathered per document is its own window positions.
+Each run of WINDOW consecutive lines (of those that hold a word) is hashed to 128 bits, so that at any number of windows
+different ones don't meet; windows that occur more than once anywhere keep their first occurrence, in order of doc_id
+and position; the lines of all later occurrences are put together and removed.  Counting is one aggregation by hash
+with partial sums, so that a window of which a third of all documents have a copy is one row per task; finding the
+later occurrences is a join by hash against one row per repeated window.  What is gathered per document is its own
+window positions, by doc_id and a hash of the row.
 
 Defined cases: a null or blank text has no lines and keeps its text; a document of fewer than WINDOW lines has no
 window and loses nothing; rows that share doc_id and text are one occurrence; a null doc_id comes last in order; a text
@@ -20,7 +21,7 @@ from .common import materialise
 
 WINDOW = 3
 _LAST = 2**63 - 1
-_ADDED = ("n_lines", "n_removed", "_row", "_key", "_lines", "_starts", "_kept")
+_ADDED = ("n_lines", "n_removed", "_row", "_key", "_ord", "_by", "_lines", "_starts", "_kept")
 
 
 def lines(text: Column) -> Column:
@@ -29,13 +30,13 @@ def lines(text: Column) -> Column:
 
 
 def line_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, ord, pos, h): every window of every document."""
+    """(row, ord, pos, h): every window of every document; h is the md5 of its lines' md5s."""
     hashed = docs.select(
-        F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), F.transform(lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hl"),
+        F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), F.transform(lines(F.col("text")), lambda x: F.md5(x.cast("binary"))).alias("hl"),
     )
     runs = F.when(
         F.size("hl") >= window,
-        F.transform(F.sequence(F.lit(0), F.size("hl") - window), lambda i: F.xxhash64(*[F.get(F.col("hl"), i + j) for j in range(window)])),
+        F.transform(F.sequence(F.lit(0), F.size("hl") - window), lambda i: F.unhex(F.md5(F.concat(*[F.get(F.col("hl"), i + j) for j in range(window)]).cast("binary")))),
     )
     return hashed.select("row", "ord", F.posexplode(runs).alias("pos", "h"))
 
@@ -48,9 +49,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first")).where("n > 1")
     repeated = materialise(repeated.select("h", "first"), "repeated")
     later = windows.join(repeated, "h").where(F.struct("ord", "pos") > F.col("first"))
-    starts = later.groupBy(F.col("row").alias("_key")).agg(F.collect_set("pos").alias("_starts"))
-    rows = docs.select(*passed, F.xxhash64("doc_id", "text").alias("_row"))
-    joined = rows.join(starts, F.col("_row") == F.col("_key"), "left").select(*passed, "_starts", lines(F.col("text")).alias("_lines"))
+    starts = later.groupBy(F.col("row").alias("_key"), F.col("ord").alias("_by")).agg(F.collect_set("pos").alias("_starts"))
+    rows = docs.select(*passed, F.xxhash64("doc_id", "text").alias("_row"), F.coalesce("doc_id", F.lit(_LAST)).alias("_ord"))
+    joined = rows.join(starts, (F.col("_row") == F.col("_key")) & (F.col("_ord") == F.col("_by")), "left").select(*passed, "_starts", lines(F.col("text")).alias("_lines"))
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + window - 1))))
     kept = F.when(F.col("_starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered))
     counted = joined.withColumn("_kept", kept)
