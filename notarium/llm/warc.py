@@ -51,6 +51,8 @@ MANY, LARGE = 500, 8 << 20
 HIDDEN = frozenset(b"script style noscript template title".split())
 BLOCKS = frozenset(b"p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre".split())
 _NAME = re.compile(rb"/?([a-z][a-z0-9-]*+)", re.I)
+#: Text up to a complete tag, and the tag: its slash, name and attributes.
+_TAG = re.compile(rb"([^<]*+)<(/?)([a-z][a-z0-9-]*+)([^>]*+)>", re.I)
 _ATTRIBUTE = re.compile(rb"""[\s/]*+(?:([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s]*+)))?+|=)""")
 _LONG_NUMBER = re.compile(r"&#[0-9]{8,}+")
 _BLANKS = re.compile("  ++")
@@ -71,6 +73,8 @@ def record_id(*parts: object) -> str:
 
 def field(value: str | None) -> str:
     """A header field's value: one line, whatever was in it."""
+    if value and value.isprintable():
+        return value.strip()
     return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", value or "").strip()
 
 
@@ -100,6 +104,25 @@ def scan(page: str) -> tuple[str, list[bytes], list[str]]:
     text: list[bytes] = []
     targets: list[str] = []
     while at < n:
+        if tag := _TAG.match(raw, at):
+            piece, slash, name, rest = tag.groups()
+            text.append(piece)
+            at, name = tag.end(), name.lower()
+            if name in BLOCKS:
+                text.append(b"\n")
+            elif slash:
+                continue
+            elif name == b"a":
+                for key, *values in _ATTRIBUTE.findall(rest.rstrip(b"/ \t\n\r\f\v")):
+                    if key.lower() == b"href":
+                        targets.append(_unescaped(b"".join(values)))
+                        break
+            elif name in HIDDEN:
+                stop = _close(low, name, at)
+                if name == b"title" and title is None:
+                    title = raw[at:stop]
+                at = stop
+            continue
         begin = low.find(b"<", at)
         if begin < 0:
             begin = n
@@ -109,29 +132,17 @@ def scan(page: str) -> tuple[str, list[bytes], list[str]]:
         if low.startswith(b"<!--", begin):
             end = low.find(b"-->", begin + 4)
             at = n if end < 0 else end + 3
-            continue
-        tag = _NAME.match(low, begin + 1)
-        if not tag and low[begin + 1 : begin + 2] not in (b"!", b"?", b"/"):
+        elif name := _NAME.match(low, begin + 1):
+            # a tag that never ends
+            if name[1] in BLOCKS:
+                text.append(b"\n")
+            break
+        elif low[begin + 1 : begin + 2] in (b"!", b"?", b"/"):
+            end = low.find(b">", begin)
+            at = n if end < 0 else end + 1
+        else:
             text.append(b"<")
             at = begin + 1
-            continue
-        end = low.find(b">", begin)
-        at = n if end < 0 else end + 1
-        name = tag[1] if tag else b""
-        if name in BLOCKS:
-            text.append(b"\n")
-        if low[begin + 1 : begin + 2] == b"/" or not tag or end < 0:
-            continue
-        if name == b"a":
-            for key, *values in _ATTRIBUTE.findall(raw[tag.end() : end].rstrip(b"/ \t\n\r\f\v")):
-                if key.lower() == b"href":
-                    targets.append(_unescaped(b"".join(values)))
-                    break
-        elif name in HIDDEN:
-            stop = _close(low, name, at)
-            if name == b"title" and title is None:
-                title = raw[at:stop]
-            at = stop
     return _unescaped(title or b"").strip(), text, targets
 
 
@@ -399,7 +410,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                 page = head.get("x-page-id", "")
                 yield {
                     "page_id": int(page) if page else None, "record_type": head["warc-type"], "record_id": head.get("warc-record-id", ""), "refers_to": head.get("warc-refers-to", ""),
-                    "target_uri": head.get("warc-target-uri", ""), "date": head.get("warc-date", ""), "content_type": head.get("content-type", ""), "block_digest": digest(block),
+                    "target_uri": head.get("warc-target-uri", ""), "date": head.get("warc-date", ""), "content_type": head.get("content-type", ""), "block_digest": head.get("warc-block-digest") or digest(block),
                     "payload_digest": head.get("warc-source-payload-digest", ""), "source_headers": json.loads(head.get("warc-source-headers") or '""'), "content_length": len(block),
                     "block": block.decode(errors="replace"),
                 }
