@@ -29,9 +29,9 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def fact_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as saves in an order that isn't that of their dates."""
+    """Events as saves in an order that isn't that of their dates; events that are a multiple of 1000003 apart share a seq."""
     return table(spark, sf_dir, "events").select(
-        ((F.col("event_id") * 7919) % 1000003).alias("seq"), F.col("event_type").alias("domain"), F.lit("metric").alias("category"), F.col("user_id").cast("string").alias("key"),
+        "event_id", ((F.col("event_id") * 7919) % 1000003).alias("seq"), F.col("event_type").alias("domain"), F.lit("metric").alias("category"), F.col("user_id").cast("string").alias("key"),
         F.to_date("ts").alias("as_of"), F.col("value").alias("value_numeric"), F.col("props").alias("value"),
     )
 

@@ -93,7 +93,7 @@ facts AS (SELECT id, domain, category, key, value, value_numeric, as_of, valid_u
 
 
 def _facts(spark, sf_dir):
-    return facts.resolve(ds.fact_saves(spark, sf_dir))
+    return facts.resolve(ds.fact_saves(spark, sf_dir), ties=("event_id",))
 
 
 @query(_FACTS + "SELECT id, domain, category, key, value, value_numeric, as_of, valid_until FROM facts")

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from notarium.operators import facts
+from notarium.plans import queries as plans
 
 
 def simulate(saves):
@@ -36,3 +37,24 @@ def test_lookup_and_batch_agree(spark):
     for i, key, at in probes:
         one = facts.lookup(table, key, as_of=str(at)).first()
         assert many.get(i) == (one and (one.id, one.value))
+
+
+def events_of_one_seq(spark, directory):
+    """Two tables of the same events, in turned order; up to three share a user and a seq, some rows stand twice."""
+    rng, rows = random.Random(10), []
+    for e in range(600):
+        for copy in range(1 + e % 3):
+            day = dt.datetime(2024, 1, 1 + rng.randrange(6))
+            rows += [(e + copy * 1000003, day, e % 25, rng.choice("de"), rng.random(), str(len(rows)))] * rng.choice((1, 1, 2))
+    dirs = [f"{directory}/{n}" for n in "ab"]
+    for d, part in zip(dirs, (rows, rows[::-1])):
+        spark.createDataFrame(part, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{d}/events.parquet")
+    saves = sorted(((e * 7919 % 1000003, e, kind, "metric", str(user), ts.date(), props) for e, ts, user, kind, _, props in rows))
+    return dirs, simulate([(seq, *rest) for seq, _, *rest in saves])
+
+
+def test_saves_of_one_seq_keep_one_order(spark, tmp_path):
+    dirs, want = events_of_one_seq(spark, tmp_path)
+    for d in dirs:
+        got = plans.facts_resolved(spark, d).collect()
+        assert {(r.domain, r.category, r.key, r.as_of, r.id, r.valid_until, r.value) for r in got} == want and len(got) == len(want)
