@@ -58,3 +58,21 @@ def test_saves_of_one_seq_keep_one_order(spark, tmp_path):
     for d in dirs:
         got = plans.facts_resolved(spark, d).collect()
         assert {(r.domain, r.category, r.key, r.as_of, r.id, r.valid_until, r.value) for r in got} == want and len(got) == len(want)
+
+
+def test_overlaps_of_facts_of_one_id_keep_one_order(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    rows = [("d", "c", "k", day(1), 4, day(9)), ("e", "c", "k", day(1), 4, day(7)), ("e", "f", "k", day(1), 4, day(8)), ("d", "c", "k", day(5), 2, None)]
+    want = [("k", 4, day(1), day(7), 4, day(1)), ("k", 4, day(1), day(8), 2, day(5)), ("k", 4, day(1), day(9), 4, day(1))]
+    for part in (rows, rows[::-1]):
+        table = spark.createDataFrame(part, "domain string, category string, key string, as_of date, id long, valid_until date").coalesce(1)
+        assert sorted(tuple(r) for r in facts.overlapping_history(table).collect()) == want
+
+
+def test_overlaps_of_saves_of_one_seq_match_the_statements(spark, tmp_path):
+    dirs, facts_then = events_of_one_seq(spark, tmp_path)
+    real = sorted((key, as_of, i, domain, until) for domain, _, key, as_of, i, until, _ in facts_then if until is None or until > as_of)
+    assert any(a[:3] == b[:3] for a, b in zip(real, real[1:]))
+    want = sorted(str((a[0], a[2], a[1], a[4], b[2], b[1])) for a, b in zip(real, real[1:]) if a[0] == b[0] and (a[4] is None or a[4] > b[1]))
+    for d in dirs:
+        assert sorted(str(tuple(r)) for r in plans.facts_history_overlap(spark, d).collect()) == want
