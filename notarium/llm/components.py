@@ -14,11 +14,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialise
+from .common import discard, giving_back, materialise
 
 LOCAL = 200_000
 
 
+@giving_back
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict = {}
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import discard, materialise
+from .common import discard, giving_back, materialise
 from .components import connected_components
 
 SHINGLE = 5
@@ -45,6 +45,8 @@ CLOSE = 0.6
 FIRST_LINKS = 3
 #: Keys with more rows than this, or than the HOT_SHARE-th part of all, are mapped apart: HOT_SHARE of them at most.
 HOT, HOT_SHARE = 1000, 10_000
+#: Bytes of text that are scanned at once; pairs of sets that are compared at once.
+SCANNED, COMPARED = 1 << 20, 500
 
 SIGNED = "doc_id long, n_shingles long, key binary, sig binary, sketch binary"
 
@@ -60,7 +62,7 @@ def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     from . import textvec as tv
 
     inside = ~tv.SPACE
-    for _, raw, offs in tv.blocks(column):
+    for _, raw, offs in tv.blocks(column, SCANNED):
         starts, ends, first = tv.word_spans(inside[raw], offs)
         hashes, at = tv.shingles(tv.span_hashes(tv.LOWER[raw], starts, ends), first, SHINGLE)
         unique = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -87,6 +89,7 @@ def _binaries(rows: np.ndarray, present: np.ndarray) -> pa.Array:
     return fixed if present.all() else pa.array([x if p else None for x, p in zip(fixed.to_pylist(), present, strict=True)], pa.binary())
 
 
+@giving_back
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mul, add = _permutations()
     for batch in batches:
@@ -110,6 +113,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done += n
 
 
+@giving_back
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for values, at in _sets(batch.column("text")):
@@ -119,6 +123,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([keys, sets], names=["key", "items"])
 
 
+@giving_back
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 2000):
@@ -129,6 +134,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(part))), path, key], names=["tree", "path", "key"])
 
 
+@giving_back
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one sorted run: pairs (kind 0), the rows of crowded regions (1) and the rows at both borders (2)."""
 
@@ -189,16 +195,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(2, *[c.chunk(0) for c in edge.columns], None)
 
 
+@giving_back
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist()
-        ok = np.zeros(len(a), bool)
-        for k, (x, y) in enumerate(zip(a, b, strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[k] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        keep = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        for start in range(0, len(batch), COMPARED):
+            part = batch.slice(start, COMPARED)
+            a, b = part.column("items_a").to_pylist(), part.column("items_b").to_pylist()
+            ok = np.zeros(len(a), bool)
+            for k, (x, y) in enumerate(zip(a, b, strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = 100 * both >= PERCENT * (len(x) + len(y) - both)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,6 +223,7 @@ def _may_link(near: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return (near >= CLOSE) & (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b))
 
 
+@giving_back
 def _sketch_agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that may be links by sizes and sketches, with the estimate."""
     for batch in batches:
@@ -224,6 +234,7 @@ def _sketch_agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(near).filter(keep)], names=["a", "b", "near"])
 
 
+@giving_back
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, home, item) for each shingle of each set (key, home, items)."""
     for batch in batches:

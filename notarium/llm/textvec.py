@@ -28,7 +28,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << max(22, (n - 1).bit_length())
+        size = 1 << max(20, (n - 1).bit_length())
         with np.errstate(over="ignore"):
             for k, base in enumerate((_BASE, _BASE_INVERSE)):
                 p = np.full(size, base, np.uint64)

@@ -36,13 +36,15 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import fresh_dir, open_path, publish
+from .common import fresh_dir, giving_back, open_path, publish
 
 SEQUENCE = 1024
 BATCH = 256
 END_ID = 0
-#: Most pieces that a worker remembers; then it begins anew.
-REMEMBERED = 800_000
+#: Most pieces, and most ids of them, that a worker remembers; then it begins anew.
+REMEMBERED, REMEMBERED_IDS = 800_000, 6_400_000
+#: Bytes of text that are cut at once.
+SCANNED = 1 << 20
 
 #: White space outside ASCII, in UTF-8: a text that has it is encoded whole.
 _OTHER_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]"
@@ -74,9 +76,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.begin, self.count, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        self.ids = np.zeros(1 << 20, self.type)
+        # arrays, as a dict takes several times their memory: hashes of pieces, ascending, and where and how many their ids are
+        self.hashes, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, self.type), 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,18 +98,17 @@ class Encoder:
         ends = np.flatnonzero(flat == self.between_id)
         return flat[flat != self.between_id], np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Remember the ids of new pieces; their hashes are ascending."""
         flat, counts = self.separately(pieces)
-        n, have = len(pieces), len(self.known)
-        while len(self.begin) < have + n:
-            self.begin, self.count = np.concatenate([self.begin, self.begin * 0]), np.concatenate([self.count, self.count * 0])
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, self.ids * 0])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.count[have : have + n] = counts
-        self.begin[have : have + n] = self.used + np.cumsum(counts) - counts
+        at = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(counts) - counts)
+        self.count = np.insert(self.count, at, counts)
+        self.hashes = np.insert(self.hashes, at, hashes)
         self.used += len(flat)
-        self.known.update(zip(hashes, range(have, have + n), strict=True))
 
     def odd_texts(self, data: bytes, offs: np.ndarray) -> np.ndarray:
         """Which of a block's texts the cuts do not hold for.  A find that runs over a border marks the texts on both sides."""
@@ -126,16 +127,18 @@ class Encoder:
         cut[offs[:-1][offs[:-1] < len(raw)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw))[: len(starts)]
-        if len(self.known) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED or self.used > REMEMBERED_IDS:
             self.forget()
         hashes, where, back = np.unique(tv.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        values, get = hashes.tolist(), self.known.get
-        new = [k for k, h in enumerate(values) if h not in self.known]
-        if new:
+        place = np.searchsorted(self.hashes, hashes)
+        new = place == len(self.hashes)
+        new[~new] = self.hashes[place[~new]] != hashes[~new]
+        if new.any():
             data = raw.tobytes()
             at = where[new]
-            self._learn([values[k] for k in new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        index = np.fromiter(map(get, values), np.int64, len(values))[back]
+            self._learn(hashes[new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            place = np.searchsorted(self.hashes, hashes)
+        index = place[back]
         counts = self.count[index]
         stops = np.cumsum(counts)
         total = int(stops[-1]) if len(stops) else 0
@@ -147,7 +150,7 @@ class Encoder:
         """Block by block: ids of its texts one after the other, without end ids, and the number of ids of each."""
         from . import textvec as tv
 
-        for _, raw, offs in tv.blocks(column, 4 << 20):
+        for _, raw, offs in tv.blocks(column, SCANNED):
             data = raw.tobytes()
             odd = self.odd_texts(data, offs) if self.by_piece else np.ones(len(offs) - 1, bool)
             lists = self.whole([data[offs[k] : offs[k + 1]].decode() for k in np.flatnonzero(odd)]) if odd.any() else []
@@ -190,7 +193,8 @@ class ShardWriter:
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
         first = self.written + self.waiting + np.cumsum(counts) - counts
-        self.docs.append((first, counts, doc_ids))
+        # a copy of the ids alone: a slice would hold the whole batch, texts and all, until the shard is closed
+        self.docs.append((first, counts, doc_ids.take(pa.array(np.arange(len(doc_ids))))))
         self.held.append(ids)
         self.waiting += len(ids)
         if self.waiting >= self.sequence * BATCH:
@@ -231,6 +235,7 @@ class ShardWriter:
 def write_sequences(docs: DataFrame, tokenizer: str, path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Write docs as token files under path; (shard, base, n_docs, n_tokens) of each shard, in order of doc_id."""
 
+    @giving_back
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard = encoder(tokenizer), TaskContext.get().partitionId()
         writer, n_docs, n_tokens = None, 0, 0
@@ -294,6 +299,7 @@ class Shard:
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that shards (shard, base, n_tokens) names."""
 
+    @giving_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, before in zip(batch.column("base").to_pylist(), batch.column("before").to_pylist(), strict=True):
