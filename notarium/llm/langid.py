@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod
+from .common import crc_mod, giving_back
 
 HIDDEN = 8
 SEGMENT = 128
 TRAIN_PER_LANG = 1500
 STEPS, BATCH, RATE = 260, 192, 0.02
+#: Bytes of texts that are looked at together, and segments that advance together; they bound a worker's memory.
+BLOCK, TOGETHER = 1 << 19, 1024
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -211,18 +213,18 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
         ascii_letter = np.zeros(256, bool)
         ascii_letter[65:91] = ascii_letter[97:123] = True
         for batch in batches:
-            for start, raw, offs in tv.blocks(batch.column("text"), 1 << 19):
+            for start, raw, offs in tv.blocks(batch.column("text"), BLOCK):
                 n = len(offs) - 1
                 total = np.zeros((n, max(1, len(langs))))
                 if own and len(raw):
                     begin, length, first = segments(raw, offs)
                     sums = np.zeros((len(begin), len(langs)))
-                    for k in range(0, len(begin), 2048):
-                        x, mask = matrix(raw, begin[k : k + 2048], length[k : k + 2048])
+                    for k in range(0, len(begin), TOGETHER):
+                        x, mask = matrix(raw, begin[k : k + TOGETHER], length[k : k + TOGETHER])
                         p = own.position_probabilities(x)
                         if not mask.all():
                             p *= mask[:, :, None]
-                        sums[k : k + 2048] = p.sum(axis=0)
+                        sums[k : k + TOGETHER] = p.sum(axis=0)
                     full = np.flatnonzero(first[1:] > first[:-1])
                     total[full] = np.add.reduceat(sums, first[:-1][full])
                     total[full] /= np.diff(offs)[full][:, None]
@@ -238,7 +240,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                     names=["doc_id", "lang_pred", "score", "n_positions"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_positions long")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, lang_pred string, score double, n_positions long")
 
 
 def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:

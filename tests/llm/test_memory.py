@@ -30,12 +30,43 @@ assert sum(len(x) for x in neardup._sign(batches())) == 9000
 print(held() - before)
 """
 
+PREDICT = """
+import re
+import pyarrow as pa
+from notarium.llm import langid, textvec
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", f.read()))) / 1024
+
+def batches():
+    for k in range(3):
+        texts = [" ".join(f"w{k}x{i * j % 9973}" for j in range(100 + i % 500)) for i in range(500)]
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": texts})
+
+class Docs:
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, ddl):
+        return run(batches())
+
+before = held()
+assert sum(len(x) for x in langid.predict(Docs(), langid.Network(["a", "b", "c", "d"]))) == 1500
+print(held() - before)
+"""
+
 
 def test_a_worker_gives_back_what_a_task_took():
     grown = float(subprocess.run([sys.executable, "-c", SIGN], capture_output=True, text=True, check=True).stdout)
     assert grown < 50
 
 
+def test_language_id_gives_back_what_a_task_took():
+    grown = float(subprocess.run([sys.executable, "-c", PREDICT], capture_output=True, text=True, check=True).stdout)
+    assert grown < 29
+
+
 def test_remembered_pieces_are_small():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     code = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
