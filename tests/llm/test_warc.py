@@ -1,6 +1,10 @@
+import base64
 import gzip
+import hashlib
+import io
 import json
 import os
+import sys
 import time
 import uuid
 from collections import Counter
@@ -167,3 +171,46 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_empty(spark):
     assert derived(spark, []).count() == 0
+
+
+def calls(work):
+    """Calls that work takes: what it costs, whatever the machine."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(before)
+    return n
+
+
+def test_reading_a_record_takes_few_calls(tmp_path):
+    one = warc.to_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], b"x" * 2000)
+    (tmp_path / "r.warc.gz").write_bytes(b"".join(gzip.compress(one) for _ in range(300)))
+    assert calls(lambda: list(warc.records_of(f"{tmp_path}/r.warc.gz"))) < 75 * 300
+
+
+def test_digest_is_base_32():
+    for n in range(300):
+        assert warc.digest(b"x" * n) == "sha1:" + base64.b32encode(hashlib.sha1(b"x" * n).digest()).decode()
+
+
+@pytest.mark.parametrize("size", [100, 1 << 20])
+def test_members(size):
+    parts = [b"", b"a" * 300_000, os.urandom(200_000), b"b", os.urandom(70)]
+    whole = b"".join(gzip.compress(p) + b"\0" * pad for p, pad in zip(parts, (0, 1, 70_000, 0, 3)))
+    assert io.BufferedReader(warc.Members(io.BytesIO(whole)), size).read() == b"".join(parts)
+    for cut in (5, 100_000, len(whole) - 10):
+        with pytest.raises(EOFError):
+            io.BufferedReader(warc.Members(io.BytesIO(whole[:cut])), size).read()
+
+
+def test_paths_with_dots():
+    for path in ("/no.", "/a.b/c", "/.", "/..", "/a/../b", "/a/./b", "/a.", "/a/..b", "/a..", "//x.y/z", "/a//b."):
+        assert warc.links([path, path], "http://e.com/d/p") == [urljoin("http://e.com/d/p", path)]
