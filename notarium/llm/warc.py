@@ -294,14 +294,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 yield dict(zip(names, values, strict=True))
 
 
-def _write(rows: DataFrame, path: str, record) -> DataFrame:
-    """(file, n) of the files under path, each with record(row), the bytes of a record, of one task's rows."""
+def _write(rows: DataFrame, path: str, record, of=_rows) -> DataFrame:
+    """(file, n) of the files under path, each with record(row), the bytes of a record, of one task's rows, as of(batches) has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, n, sink = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0, None
         fs, final = open_path(name)
         tmp = f"{final}.tmp-{os.getpid()}-{TaskContext.get().taskAttemptId()}"
-        for r in _rows(batches):
+        for r in of(batches):
             if sink is None:
                 fs.create_dir(os.path.dirname(final), recursive=True)
                 sink = fs.open_output_stream(tmp, compression=None)
@@ -315,16 +315,25 @@ def _write(rows: DataFrame, path: str, record) -> DataFrame:
     return rows.mapInArrow(run, "file string, n long")
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """As many tasks as files, since the table is small and what it names is not."""
+    return files.select("file").repartitionByRange(max(1, files.count()), "file")
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    for batch in batches:
+        yield from batch.column("file").to_pylist()
+
+
 def _read(files: DataFrame, ddl: str, rows, weight: str) -> DataFrame:
-    """rows(path) of every file: as many tasks as files, since the table is small and what it names is not."""
+    """rows(path) of every file."""
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("file").to_pylist():
-                yield from _batches(rows(path), schema, weight)
+        for path in _paths(batches):
+            yield from _batches(rows(path), schema, weight)
 
-    return files.select("file").repartitionByRange(max(1, files.count()), "file").mapInArrow(run, ddl)
+    return _dealt(files).mapInArrow(run, ddl)
 
 
 # -- responses ------------------------------------------------------------------------------------------------------
@@ -384,69 +393,76 @@ def write_pages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     return _write(pages.select("page_id", "url", "html"), path, record)
 
 
+def responses_of(path: str) -> Iterator[dict]:
+    """The rows (RESPONSE) of a file's response records."""
+    for head, block in records_of(path):
+        if head.get("warc-type", "").lower() != "response":
+            continue
+        http, payload = _message(block)
+        page = head.get("x-page-id", "")
+        yield {
+            "page_id": int(page) if re.fullmatch(r"-?\d{1,18}", page) else None, "record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", "").removeprefix("<").removesuffix(">"),
+            "date": head.get("warc-date", ""), "headers": http, "payload": _text(http, payload), "block_digest": head.get("warc-block-digest") or digest(block),
+            "payload_digest": head.get("warc-payload-digest") or digest(payload),
+        }
+
+
 def read_responses(files: DataFrame) -> DataFrame:
     """The response records (RESPONSE) of WARC files (file); page_id only where our own field names one."""
+    return _read(files, RESPONSE, responses_of, "payload")
 
-    def rows(path: str) -> Iterator[dict]:
-        for head, block in records_of(path):
-            if head.get("warc-type", "").lower() != "response":
-                continue
-            http, payload = _message(block)
-            page = head.get("x-page-id", "")
-            yield {
-                "page_id": int(page) if re.fullmatch(r"-?\d{1,18}", page) else None, "record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", "").removeprefix("<").removesuffix(">"),
-                "date": head.get("warc-date", ""), "headers": http, "payload": _text(http, payload), "block_digest": head.get("warc-block-digest") or digest(block),
-                "payload_digest": head.get("warc-payload-digest") or digest(payload),
-            }
 
-    return _read(files, RESPONSE, rows, "payload")
+# -- derivatives ----------------------------------------------------------------------------------------------------
 
 
-# -- derivatives ----------------------------------------------------------------------------------------------------
+def derived(r: dict) -> Iterator[dict]:
+    """The two rows (RECORD) of a response's row."""
+    page, uri, date, headers, source = r["payload"] or "", r["target_uri"] or "", r["date"] or "", r["headers"] or "", r["record_id"]
+    title, pieces, targets = scan(page)
+    text = plain_text(page, pieces)
+    payload_digest = r["payload_digest"] or digest(page.encode(errors="replace"))
+    conversion = record_id("conversion", source)
+    about = {
+        "refers-to": source, "conversion": conversion, "response-block-digest": r["block_digest"], "response-payload-digest": payload_digest,
+        "http-headers": headers, "title": title, "links": links(targets, uri), "text-characters": len(text),
+    }
+    for kind, id_, content, block in (
+        ("metadata", record_id("metadata", source), "application/json", _encode(about)),
+        ("conversion", conversion, "text/plain; charset=utf-8", text),
+    ):
+        data = block.encode(errors="replace")
+        yield {
+            "page_id": r["page_id"], "record_type": kind, "record_id": id_, "refers_to": source, "target_uri": uri, "date": date, "content_type": content,
+            "block_digest": digest(data), "payload_digest": payload_digest, "source_headers": headers, "content_length": len(data), "block": data.decode(),
+        }
 
 
 def derive(responses: DataFrame) -> DataFrame:
     """Two records (RECORD) for each response (RESPONSE): metadata, which links to the conversion, and conversion."""
-
-    def records(r: dict) -> Iterator[dict]:
-        page, uri, date, headers, source = r["payload"] or "", r["target_uri"] or "", r["date"] or "", r["headers"] or "", r["record_id"]
-        title, pieces, targets = scan(page)
-        text = plain_text(page, pieces)
-        payload_digest = r["payload_digest"] or digest(page.encode(errors="replace"))
-        conversion = record_id("conversion", source)
-        about = {
-            "refers-to": source, "conversion": conversion, "response-block-digest": r["block_digest"], "response-payload-digest": payload_digest,
-            "http-headers": headers, "title": title, "links": links(targets, uri), "text-characters": len(text),
-        }
-        for kind, id_, content, block in (
-            ("metadata", record_id("metadata", source), "application/json", _encode(about)),
-            ("conversion", conversion, "text/plain; charset=utf-8", text),
-        ):
-            data = block.encode(errors="replace")
-            yield {
-                "page_id": r["page_id"], "record_type": kind, "record_id": id_, "refers_to": source, "target_uri": uri, "date": date, "content_type": content,
-                "block_digest": digest(data), "payload_digest": payload_digest, "source_headers": headers, "content_length": len(data), "block": data.decode(),
-            }
-
     schema, columns = _arrow(RECORD), [x.split()[0] for x in RESPONSE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((x for r in _rows(batches) for x in records(r)), schema, "block")
+        yield from _batches((x for r in _rows(batches) for x in derived(r)), schema, "block")
 
     return responses.select(*columns).mapInArrow(run, RECORD)
 
 
+def _derivative(r: dict) -> bytes:
+    return to_bytes([
+        ("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]),
+        ("WARC-Source-Payload-Digest", r["payload_digest"]), ("WARC-Source-Headers", json.dumps(r["source_headers"])), ("X-Page-ID", "" if r["page_id"] is None else str(r["page_id"])),
+        ("Content-Type", r["content_type"]),
+    ], r["block"].encode(errors="replace"))
+
+
 def write_warc(records: DataFrame, path: str) -> DataFrame:
     """(file, n) of the files with records (RECORD) written under path."""
+    return _write(records, path, _derivative)
 
-    def record(r: dict) -> bytes:
-        return to_bytes([
-            ("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]),
-            ("WARC-Source-Payload-Digest", r["payload_digest"]), ("WARC-Source-Headers", json.dumps(r["source_headers"])), ("X-Page-ID", "" if r["page_id"] is None else str(r["page_id"])),
-            ("Content-Type", r["content_type"]),
-        ], r["block"].encode(errors="replace"))
 
-    return _write(records, path, record)
+def derive_files(files: DataFrame, path: str) -> DataFrame:
+    """write_warc(derive(read_responses(files)), path) in one map: what a file holds stays in one process."""
+    return _write(_dealt(files), path, _derivative, lambda batches: (x for name in _paths(batches) for r in responses_of(name) for x in derived(r)))
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -470,5 +486,4 @@ def derivatives_of_pages(pages: DataFrame) -> DataFrame:
     """Pages to response files, these to derivative files, and what the latter hold (RECORD)."""
     spark = pages.sparkSession
     responses = materialise(write_pages(pages, fresh_dir(spark, "responses")), "files")
-    derived = materialise(write_warc(derive(read_responses(responses)), fresh_dir(spark, "derivatives")), "files")
-    return read_warc(derived)
+    return read_warc(materialise(derive_files(responses, fresh_dir(spark, "derivatives")), "files"))

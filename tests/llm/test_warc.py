@@ -214,3 +214,14 @@ def test_members(size):
 def test_paths_with_dots():
     for path in ("/no.", "/a.b/c", "/.", "/..", "/a/../b", "/a/./b", "/a.", "/a/..b", "/a..", "//x.y/z", "/a//b."):
         assert warc.links([path, path], "http://e.com/d/p") == [urljoin("http://e.com/d/p", path)]
+
+
+def test_files_are_derived_in_one_map(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    files = warc.materialise(warc.write_pages(pages, f"{tmp_path}/r"), "files")
+    one = warc.derive_files(files, f"{tmp_path}/one")
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    many = warc.write_warc(warc.derive(warc.read_responses(files)), f"{tmp_path}/many")
+    assert sorted(r.n for r in one.collect()) == sorted(r.n for r in many.collect())
+    got, want = ([sorted(map(str, warc.read_warc(spark.createDataFrame([(f"{tmp_path}/{d}/{x}",) for x in os.listdir(f"{tmp_path}/{d}")], "file string")).collect()))] for d in ("one", "many"))
+    assert got == want and len(got[0]) == 2 * len(PAGES)
