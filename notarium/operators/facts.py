@@ -13,16 +13,17 @@ def resolve(saves: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     A save that is not older than all before it with its key closes the current one at its own date; an older one is
     closed at the date of the current one.  So with m the latest date before: if as_of >= m, the interval ends where the
     next such save begins, else it ends at m.  Of the saves of one fact (FACT_KEY) the last gives the values, the first
-    the id.  Saves are numbered once, so that all windows see saves of one seq in the same order.
+    the id.  Saves are numbered once, so that all windows see saves of one seq in the same order.  A save without seq is
+    after all others of its key, and gives a fact's values only where no other save of the fact does.
     """
-    order = W.partitionBy("key").orderBy("seq", *ties)
+    order = W.partitionBy("key").orderBy(F.asc_nulls_last("seq"), *ties)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     ranked = saves.withColumns({"turn": F.row_number().over(order), "latest": F.max("as_of").over(before)})
     marked = ranked.withColumn("leads", F.col("latest").isNull() | (F.col("as_of") >= F.col("latest")))
     following = F.lead("as_of").over(W.partitionBy("key", "leads").orderBy("turn"))
     closed = marked.withColumn("valid_until", F.when(F.col("leads"), following).otherwise(F.col("latest")))
     same = W.partitionBy(*FACT_KEY)
-    last = closed.withColumns({"id": F.min("seq").over(same), "r": F.row_number().over(same.orderBy(F.col("turn").desc()))})
+    last = closed.withColumns({"id": F.min("seq").over(same), "r": F.row_number().over(same.orderBy(F.desc_nulls_last("seq"), F.desc("turn")))})
     return last.where("r = 1").drop("r", "turn", "latest", "leads", "seq", *ties)
 
 

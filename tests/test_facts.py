@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import duckdb
+
 from notarium.operators import facts
 from notarium.plans import queries as plans
 
@@ -76,3 +78,21 @@ def test_overlaps_of_saves_of_one_seq_match_the_statements(spark, tmp_path):
     want = sorted(str((a[0], a[2], a[1], a[4], b[2], b[1])) for a, b in zip(real, real[1:]) if a[0] == b[0] and (a[4] is None or a[4] > b[1]))
     for d in dirs:
         assert sorted(str(tuple(r)) for r in plans.facts_history_overlap(spark, d).collect()) == want
+
+
+def rows_and_sql_rows(spark, directory, name, events):
+    """The rows of a facts query on these events (event_id, day or None, user, kind), and those of its SQL."""
+    rows = [(e, day and dt.datetime(2024, 1, day), user, kind, float(n), str(n)) for n, (e, day, user, kind) in enumerate(events)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{directory}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{directory}/events.parquet/*.parquet'")
+    r = con.execute(plans.ORACLES[name])
+    got = plans.QUERIES[name](spark, str(directory)).select(*[c[0] for c in r.description]).collect()
+    return sorted(str(tuple(row)) for row in got), sorted(map(str, r.fetchall()))
+
+
+def test_saves_without_seq_count_as_in_the_sql(spark, tmp_path):
+    rng = random.Random(11)
+    events = [(e if e >= 30 else None, 1 + rng.randrange(6), e % 30, rng.choice("de")) for e in range(600)]
+    got, want = rows_and_sql_rows(spark, tmp_path, "facts_resolved", events)
+    assert got == want
