@@ -50,8 +50,8 @@ def lookup_many(facts: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def overlapping_history(facts: DataFrame) -> DataFrame:
-    """Pairs of neighbouring intervals of a key that overlap (what a backdated save leaves)."""
-    order = W.partitionBy("key").orderBy("as_of", "id", "domain", "category")
+    """Pairs of neighbouring intervals of a key that overlap (what a backdated save leaves); those without a date or id come last."""
+    order = W.partitionBy("key").orderBy(F.asc_nulls_last("as_of"), F.asc_nulls_last("id"), "domain", "category")
     real = facts.where("valid_until IS NULL OR valid_until > as_of")
     nxt = real.withColumns({"next_id": F.lead("id").over(order), "next_as_of": F.lead("as_of").over(order)})
     return nxt.where("next_id IS NOT NULL AND (valid_until IS NULL OR valid_until > next_as_of)").select("key", "id", "as_of", "valid_until", "next_id", "next_as_of")

@@ -96,3 +96,11 @@ def test_saves_without_seq_count_as_in_the_sql(spark, tmp_path):
     events = [(e if e >= 30 else None, 1 + rng.randrange(6), e % 30, rng.choice("de")) for e in range(600)]
     got, want = rows_and_sql_rows(spark, tmp_path, "facts_resolved", events)
     assert got == want
+
+
+def test_overlaps_of_facts_without_date_or_id_are_those_of_the_sql(spark, tmp_path):
+    rng = random.Random(12)
+    events = [(e if e >= 30 else None, None if e % 7 == 3 else 1 + rng.randrange(6), e % 30, rng.choice("de")) for e in range(600)]
+    events += [(600, None, 50, "d"), (601, 2, 50, "e"), (602, 2, 50, "d")]
+    got, want = rows_and_sql_rows(spark, tmp_path, "facts_history_overlap", events)
+    assert got == want
